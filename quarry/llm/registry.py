@@ -7,6 +7,9 @@ import importlib
 #: Query -> module; the module has a function of that name, and SQL where there is any.
 MODULES = {
     "op4_quality_rules": "rules",
+    "op6_bpe": "bpe",
+    "op8_packing": "packing",
+    "op10_token_files": "tokenfile",
 }
 
 
