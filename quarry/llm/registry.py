@@ -6,8 +6,10 @@ import importlib
 
 #: Query -> module; the module has a function of that name, and SQL where there is any.
 MODULES = {
+    "op3_simhash": "simhash",
     "op4_quality_rules": "rules",
     "op6_bpe": "bpe",
+    "op7_secrets": "secrets",
     "op8_packing": "packing",
     "op10_token_files": "tokenfile",
 }
