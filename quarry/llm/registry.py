@@ -11,6 +11,7 @@ MODULES = {
     "op6_bpe": "bpe",
     "op7_secrets": "secrets",
     "op8_packing": "packing",
+    "op9_lm_scores": "lm",
     "op10_token_files": "tokenfile",
 }
 
