@@ -6,8 +6,10 @@ import importlib
 
 #: Query -> module; the module has a function of that name, and SQL where there is any.
 MODULES = {
+    "op1_quality_classifier": "classifier",
     "op3_simhash": "simhash",
     "op4_quality_rules": "rules",
+    "op5_imatch": "imatch",
     "op6_bpe": "bpe",
     "op7_secrets": "secrets",
     "op8_packing": "packing",
