@@ -7,6 +7,7 @@ import importlib
 #: Query -> module; the module has a function of that name, and SQL where there is any.
 MODULES = {
     "op1_quality_classifier": "classifier",
+    "op2_suffix_dedup": "suffix",
     "op3_simhash": "simhash",
     "op4_quality_rules": "rules",
     "op5_imatch": "imatch",
