@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from quarry.plans import clean_queries, eda_queries, model_queries, split_queries, text_queries  # noqa: F401  they register themselves
+from quarry.plans.registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
