@@ -21,6 +21,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,11 +29,13 @@ from quarry.llm.common import documents
 
 VOCABULARY = "word_bpe_49k.json"
 #: Characters of text that are encoded together, and chunks that a worker remembers.
-BATCH_CHARS, CACHED_CHUNKS = 8_000_000, 500_000
+BATCH_CHARS, CACHED_CHUNKS = 16_000_000, 900_000
 
+_TABLE_BITS = 20
 _CONTROL = re.compile(r"[\x1c-\x1f]")
-_CHUNK = regex.compile(r"[^\t\n\x0b\x0c\r \x85\xa0  -     　]+")
-_PLAIN = re.compile(r"[\x21-\x7e\xa1-įı-ɏ]+")
+_CHUNK = regex.compile(r"[^\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+_PLAIN = re.compile(r"[\x21-\x7e\xa1-\u012f\u0131-\u024f]+")
+_PLAIN_TEXT = re.compile(r"[\t\n\x0b\x0c\r \x21-\x7e\xa1-\u012f\u0131-\u024f]*")
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
@@ -74,21 +77,41 @@ class Vocabulary:
         born[self.made] = np.arange(len(merges))
         if (np.maximum(born[self.left], born[self.right]) >= np.arange(len(merges))).any():
             raise ValueError("a merge uses a symbol that a later merge makes: ranks can't be applied in ascending order")
-        self.by_key = np.argsort((self.left << 20) | self.right)
-        self.keys = ((self.left << 20) | self.right)[self.by_key]
+        keys = (self.left << 20) | self.right
+        self._levels: list[tuple[np.uint64, np.ndarray]] = []  # hash tables; what collides in one goes on to the next
+        rest = np.arange(len(keys))
+        while len(rest):
+            salt = np.uint64(0x9E3779B97F4A7C15 + 0x632BE59BD9B4E01A * len(self._levels) & (1 << 64) - 1 | 1)
+            table = np.full(1 << _TABLE_BITS, -1, np.int32)
+            at = self._slots(keys[rest], salt)
+            _, first = np.unique(at, return_index=True)
+            table[at[first]] = rest[first]
+            self._levels.append((salt, table))
+            rest = np.delete(rest, first)
+        self._keys = np.append(keys, -1)  # what no slot (-1) holds equals no key
+
+    @staticmethod
+    def _slots(key: np.ndarray, salt: np.uint64) -> np.ndarray:
+        return ((key.view(np.uint64) * salt) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 where there is no merge."""
         key = (left << 20) | right
-        at = np.searchsorted(self.keys, key)
-        at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == key, self.by_key[at], -1)
+        out = np.full(len(key), -1, np.int64)
+        for salt, table in self._levels:
+            at = table[self._slots(key, salt)]
+            hit = self._keys[at] == key
+            out[hit] = at[hit]
+        return out
 
 
 def merge_pieces(v: Vocabulary, pieces: list[bytes]) -> list[bytes]:
     """Little-endian 32-bit ids of each piece (UTF-8 bytes, not empty)."""
     if not pieces:
         return []
+    if b"" in pieces:
+        rest = iter(merge_pieces(v, [p for p in pieces if p]))
+        return [next(rest) if p else b"" for p in pieces]
     ends = np.cumsum([len(p) for p in pieces])
     starts = np.concatenate(([0], ends[:-1]))
     raw = np.frombuffer(b"".join(pieces), np.uint8)
@@ -105,13 +128,15 @@ def merge_pieces(v: Vocabulary, pieces: list[bytes]) -> list[bytes]:
     at, rank = at[order], rank[order]
     cuts = np.flatnonzero(np.diff(rank)) + 1
     first = dict(zip(rank[np.concatenate(([0], cuts))].tolist() if len(rank) else [], np.split(at, cuts)))  # pair (by rank) -> positions
-    more: dict[int, list[int]] = {}  # positions of pairs that merges have made
+    more: dict[int, list[np.ndarray]] = {}  # positions of pairs that merges have made
     active = list(first)
     heapq.heapify(active)
     while active:
         r = heapq.heappop(active)
-        lists = [x for x in (first.pop(r, None), more.pop(r, None)) if x is not None]
-        pos = np.asarray(lists[0], np.int64) if len(lists) == 1 else np.concatenate(lists).astype(np.int64)
+        lists = more.pop(r, [])
+        if r in first:
+            lists.append(first.pop(r))
+        pos = lists[0] if len(lists) == 1 else np.concatenate(lists)
         a, b = v.left[r], v.right[r]
         nxt = after[pos]
         ok = (sym[pos] == a) & (nxt >= 0) & (sym[nxt] == b)
@@ -138,13 +163,19 @@ def merge_pieces(v: Vocabulary, pieces: list[bytes]) -> list[bytes]:
         if len(touched):
             new = v.ranks(sym[touched], sym[after[touched]])
             hit = new >= 0
-            for k, p in zip(new[hit].tolist(), touched[hit].tolist()):
-                if k in more:
-                    more[k].append(p)
-                else:
-                    more[k] = [p]
-                    if k not in first:
-                        heapq.heappush(active, k)
+            if hit.any():
+                new, touched = new[hit], touched[hit]
+                order = np.argsort(new, kind="stable")
+                new, touched = new[order], touched[order]
+                cuts = [0, *(np.flatnonzero(np.diff(new)) + 1).tolist(), len(new)]
+                for i, j in zip(cuts, cuts[1:]):
+                    k = int(new[i])
+                    if k in more:
+                        more[k].append(touched[i:j])
+                    else:
+                        more[k] = [touched[i:j]]
+                        if k not in first:
+                            heapq.heappush(active, k)
     alive = sym >= 0
     counts = np.add.reduceat(alive, starts, dtype=np.int64)
     out = sym[alive].astype("<u4").tobytes()
@@ -173,31 +204,82 @@ class Encoder:
         return [bytes(map(self._byte.__getitem__, p)) for p, _ in self._library.pre_tokenizer.pre_tokenize_str(whole)]
 
     def _learn(self, chunks: Iterable[str]) -> None:
-        cut: dict[str, list[bytes]] = {}
+        """Ids of chunks that are not held."""
+        plain, odd = [], []
         for c in chunks:
-            if self._special and "<|" in c and self._special.search(c):
-                parts, at = [], 0
-                for m in self._special.finditer(c):
-                    parts += [*self._cut(c[at : m.start()]), -self.v.special[m[0]]] if m.start() > at else [-self.v.special[m[0]]]
-                    at = m.end()
-                cut[c] = parts + (self._cut(c[at:]) if at < len(c) else [])
-            else:
-                cut[c] = self._cut(c)
+            (plain if (c.isascii() or _PLAIN.fullmatch(c)) and c.isprintable() and "<|" not in c else odd).append(c)
+        lower = [c.lower() for c in plain]
+        self._learn_plain([c for c in set(lower) if c not in self._ids])
+        self._ids.update(zip(plain, map(self._ids.__getitem__, lower)))
+        self._learn_odd(odd)
+
+    def _learn_plain(self, chunks: list[str]) -> None:
+        """Distinct chunks of plain lower-case characters. A piece is a chunk of one piece, so pieces are held along with chunks."""
+        ids = self._ids
+        need = [c for c in chunks if c.isalpha()]
+        mixed = [c for c in chunks if not c.isalpha()]
+        parts = [(c[:-1], c[-1]) if c[:-1].isalpha() else _PIECES.findall(c) for c in mixed]
+        known = set(need)
+        extra = {p for x in parts for p in x if p not in ids and p not in known}
+        need += extra
+        ids.update(zip(need, merge_pieces(self.v, [p.encode() for p in need])))
+        for c, x in zip(mixed, parts):
+            ids[c] = b"".join(map(ids.__getitem__, x))
+
+    def _learn_odd(self, chunks: list[str]) -> None:
+        """Chunks with special tokens, or outside plain text."""
+        cut: dict[str, list[bytes | int]] = {}
+        for c in chunks:
+            parts, at = [], 0
+            for m in self._special.finditer(c) if self._special else ():
+                parts += self._cut(c[at : m.start()]) if m.start() > at else []
+                parts.append(self.v.special[m[0]])
+                at = m.end()
+            cut[c] = parts + (self._cut(c[at:]) if at < len(c) else [])
         distinct = list({p for parts in cut.values() for p in parts if not isinstance(p, int)})
         ids = dict(zip(distinct, merge_pieces(self.v, distinct)))
         for c, parts in cut.items():
-            self._ids[c] = ids[parts[0]] if len(parts) == 1 and not isinstance(parts[0], int) else b"".join((-p).to_bytes(4, "little") if isinstance(p, int) else ids[p] for p in parts)
+            self._ids[c] = b"".join(p.to_bytes(4, "little") if isinstance(p, int) else ids[p] for p in parts)
+
+    def _new(self, seen: Iterable[str]) -> list[str]:
+        """What of seen, distinct chunks, is not held. What this batch uses stays, the rest goes when there is too much."""
+        new = [c for c in seen if c not in self._ids]
+        if len(self._ids) + len(new) > CACHED_CHUNKS:
+            self._ids = {c: self._ids[c] for c in seen if c in self._ids}
+        return new
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        cut = [t.split() if not _CONTROL.search(t) else _CHUNK.findall(t) for t in texts]
-        seen = set().union(*cut)
-        new = seen - self._ids.keys()
-        if len(self._ids) + len(new) > CACHED_CHUNKS:
-            self._ids.clear()
-            new = seen
-        self._learn(new)
-        return [b"".join(map(self._ids.__getitem__, c)) for c in cut]
+        plain = [bool(_PLAIN_TEXT.fullmatch(t)) for t in texts]
+        odd = [t.split() if not _CONTROL.search(t) else _CHUNK.findall(t) for t, p in zip(texts, plain) if not p]
+        if odd:
+            self._learn(self._new(set().union(*odd)))
+            odd = [b"".join(map(self._ids.__getitem__, c)) for c in odd]
+        fast = iter(self._encode_plain([t for t, p in zip(texts, plain) if p]))
+        slow = iter(odd)
+        return [next(fast if p else slow) for p in plain]
+
+    def _encode_plain(self, texts: list[str]) -> list[bytes]:
+        """Texts of plain characters, whose only white space is ASCII: cut, made distinct and put together in Arrow and numpy."""
+        if not texts:
+            return []
+        cut = pc.ascii_split_whitespace(pc.utf8_lower(pa.array(texts, pa.large_string())))
+        coded = cut.values.dictionary_encode()
+        chunks = coded.dictionary.to_pylist()
+        new = self._new(chunks)
+        special = [c for c in new if "<|" in c]
+        self._learn_plain([c for c in new if "<|" not in c])
+        self._learn_odd(special)
+        ids = [self._ids[c] for c in chunks]  # an empty chunk, at the ends of texts, has none
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        held = np.frombuffer(b"".join(ids), "<u4")
+        start = np.cumsum(size) - size
+        at = coded.indices.to_numpy()
+        n = size[at]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        out = held[np.repeat(start[at] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        bounds = (4 * ends[cut.offsets.to_numpy()]).tolist()
+        return [out[i:j] for i, j in zip(bounds, bounds[1:])]
 
     def decode(self, ids: bytes) -> str:
         """The library's decode(ids, skip_special_tokens=False): this vocabulary has no decoder, so tokens joined by spaces."""
