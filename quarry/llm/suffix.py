@@ -88,12 +88,15 @@ def _digest(b: bytes) -> bytes:
 
 
 def anchor_keys(raw: bytes, at: int) -> tuple[runs.Entry, runs.Entry]:
-    """Keys of both directions, without owners. A key: direction, digest of the gram, primary text, the other direction."""
+    """Keys of both directions, without owners. A key: direction, digest of the gram, primary text, a byte that no text has, the other direction.
+
+    The byte keeps a primary text that ends with its document from going on, by chance, in the other direction.
+    """
     end = at + GRAM
     gram = _digest(raw[at:end])
     right, left = raw[end : end + REACH], raw[max(0, at - REACH) : at][::-1]
     need = SPAN - GRAM
-    return (b"R" + gram + right + left[:need], 17 + len(right)), (b"L" + gram + left + right[:need], 17 + len(left))
+    return (b"R" + gram + right + b"\xff" + left[:need], 17 + len(right)), (b"L" + gram + left + b"\xff" + right[:need], 17 + len(left))
 
 
 def _match(a: runs.Entry, b: runs.Entry, n: int) -> tuple[int, int]:
@@ -101,7 +104,7 @@ def _match(a: runs.Entry, b: runs.Entry, n: int) -> tuple[int, int]:
     if n < 17:
         return 0, 0
     one = min(n, a[1], b[1]) - 17
-    other = runs.shared(a[0][a[1] :], b[0][b[1] :])
+    other = runs.shared(a[0][a[1] + 1 :], b[0][b[1] + 1 :])
     return (one + GRAM, other) if a[0][:1] == b"R" else (other + GRAM, one)
 
 
@@ -329,18 +332,25 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             k = np.searchsorted(places, pos)
             np.maximum.at(most_right, k[side == 0], right[side == 0])
             np.maximum.at(most_left, k[side == 1], left[side == 1])
-            # an anchor a lets a string from p pass if p >= a - most_left and p + SPAN <= a + most_right
+            # a string from p has its anchor, the least gram of those inside, in common with any equal string; that anchor
+            # lets it pass if p >= anchor - most_left and p + SPAN <= anchor + most_right
             low, high = places - most_left, places + most_right - SPAN
             hull = np.unique(np.concatenate([np.arange(max(0, x, p - SPAN + GRAM), min(p, y) + 1) for p, x, y in zip(places, low, high)])) if len(places) else places
-            if len(hull):
+            if len(hull) and len(starts):
                 inside = np.searchsorted(starts, hull, "right") - 1
-                done = (inside >= 0) & (hull + SPAN <= ends[inside]) if len(starts) else np.zeros(len(hull), bool)
-                hull = hull[~done]
+                hull = hull[(inside < 0) | (hull + SPAN > ends[inside])]
             asked = []
-            for p in hull.tolist():
-                i, j = np.searchsorted(places, (p, p + SPAN - GRAM + 1))
-                if i < j and (low[i:j] <= p).all() and (high[i:j] >= p).all():
-                    asked.append((at[i][1], at[i][0] - p))
+            if len(hull):
+                grams = np.array([g for _, g in at], np.int64)
+                order = grams.view(np.uint64)
+                best, stop = np.searchsorted(places, hull), np.searchsorted(places, hull + SPAN - GRAM, "right")
+                k = best + 1
+                while (k < stop).any():
+                    more = np.minimum(k, len(places) - 1)
+                    best = np.where((k < stop) & (order[more] < order[best]), more, best)
+                    k = k + 1
+                passed = (low[best] <= hull) & (high[best] >= hull)
+                asked = list(zip(grams[best[passed]].tolist(), (places[best] - hull)[passed].tolist()))
             out.append((row, starts, ends, [g for g, _ in asked], [o for _, o in asked]))
         ints = pa.list_(pa.int32())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, (pa.int64(), ints, ints, pa.list_(pa.int64()), ints))], ["row", "starts", "ends", "asked_gram", "asked_offset"])
@@ -374,17 +384,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     cut = Repeats(docs).cut()
     names = docs.columns
     at = names.index("text")
+    sha, starts, ends = (next(c for c in (f"{x}_{k}" for k in range(len(names) + 1)) if c not in names) for x in ("sha", "starts", "ends"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = batch.column("text")
-            new = [t if s is None or t is None else keep(t.encode(), s, e).decode("utf-8", "ignore") for t, s, e in zip(*(batch.column(c).to_pylist() for c in ("text", "_starts", "_ends")))]
+            new = [t if s is None or t is None else keep(t.encode(), s, e).decode("utf-8", "ignore") for t, s, e in zip(*(batch.column(c).to_pylist() for c in ("text", starts, ends)))]
             columns = [*batch.columns[: len(names)]]
             columns[at] = pa.array(new, held.type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    joined = docs.withColumn("_sha", _sha()).join(cut.select(F.col("sha").alias("_sha"), F.col("starts").alias("_starts"), F.col("ends").alias("_ends")), "_sha", "left")
-    out = joined.select(*[F.col(f"`{c}`") for c in names], "_starts", "_ends").mapInArrow(work, docs.schema)
+    joined = docs.withColumn(sha, _sha()).join(cut.select(F.col("sha").alias(sha), F.col("starts").alias(starts), F.col("ends").alias(ends)), sha, "left")
+    out = joined.select(*[F.col(f"`{c}`") for c in names], starts, ends).mapInArrow(work, docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 
