@@ -88,15 +88,17 @@ def class_pairs(held: DataFrame, classes: dict[bytes, int]) -> tuple[np.ndarray,
     found = held.select("words", "folds", "n_tokens", "tokens").mapInArrow(work, "pair long, main long, held long")
     summed = found.groupBy("pair").agg(F.sum("main").alias("main"), F.sum("held").alias("held")).toPandas()
     out = np.zeros((2, n * n), np.int64)
-    out[0][summed["pair"]], out[1][summed["pair"]] = summed["main"], summed["held"]
+    at = summed["pair"].to_numpy(np.int64)
+    out[0][at], out[1][at] = summed["main"].to_numpy(np.int64), summed["held"].to_numpy(np.int64)
     return out[0].reshape(n, n), out[1].reshape(n, n)
 
 
 def _estimates(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order 2, order 1, bucket of each context."""
+    """Order 2, order 1, bucket of each context. A context that was not seen takes order 1, and that order 0 where nothing was seen."""
     context = counts.sum(axis=1)
-    total = max(1, counts.sum())
-    return counts / np.maximum(context, 1)[:, None], counts.sum(axis=0) / total, np.floor(np.log2(context + 1)).astype(int)
+    one = counts.sum(axis=0) / counts.sum() if counts.any() else np.full(len(counts), 1 / len(counts))
+    two = np.where(context[:, None] > 0, counts / np.maximum(context, 1)[:, None], one[None, :])
+    return two, one, np.floor(np.log2(context + 1)).astype(int)
 
 
 def interpolation_weights(main: np.ndarray, held: np.ndarray, rounds: int = 50) -> np.ndarray:
