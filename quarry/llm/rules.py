@@ -158,7 +158,8 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the rules reject go."""
-    return quality_rules(docs).where("kept").select(*docs.columns)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"), "text")  # so no statistic replaces a column
+    return quality_rules(whole).where("kept").select("document.*")
 
 
 SQL = r"""

@@ -91,6 +91,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = roots.groupBy("component").agg(F.min(first).alias("s")).select(F.col("s.doc_id").alias("_id"), F.col("s.h").alias("_h")).distinct()
     times = roots.groupBy("doc_id", "h").agg(F.count("*").alias("_n"))
     kept = kept.join(times, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_h") == F.col("h"))).select("_id", "_h", "_n")
-    chosen = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h")))
-    once = chosen.where("_n = 1").select(*docs.columns)
-    return once.union(chosen.where("_n > 1").dropDuplicates(["_id", "_h"]).select(*docs.columns)) if not kept.where("_n > 1").isEmpty() else once
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_h"))
+    chosen = whole.join(kept, F.col("own_id").eqNullSafe(F.col("_id")) & (F.col("own_h") == F.col("_h")))
+    once = chosen.where("_n = 1").select("document.*")
+    return once.union(chosen.where("_n > 1").dropDuplicates(["_id", "_h"]).select("document.*")) if not kept.where("_n > 1").isEmpty() else once
