@@ -1,15 +1,19 @@
 """Language-model scores by deleted interpolation.
 
-Tokens are words and one end a document. Every word whose share of the training tokens is at least FREQUENT is a class
-of its own; all others share the rare class (so there are at most 1 / FREQUENT + 2 classes, whatever the corpus). The
-probability of a class after a class mixes maximum-likelihood estimates of orders 2, 1 and 0; the weights depend on the
-bucket (power of two) of the context's frequency and are learned by expectation-maximisation on the counts of training
-documents that were left out of the estimates (remainder HELD). A rare word's probability within its class is its
-add-one share of the rare tokens, all unknown words being one more word. The distribution sums to one.
+Tokens are words and one end a document; what stands before a document is an end. The probability of a word after a
+word mixes maximum-likelihood estimates of orders 2, 1 and 0 (pairs, words, uniform over the vocabulary and one unknown
+word). The weights depend on the bucket (power of two) of the context's frequency. They are learned by
+expectation-maximisation on the counts of training documents that are left out of the estimates (remainder HELD); the
+estimates that score are those of all training documents. After a context that was not seen, order 1 stands in for
+order 2. The distribution sums to one.
 
 Each task turns its documents into blocks: distinct words with their training counts, and the documents as indices of
-them. Corpus counts are a sum over blocks by word; they come back to each block by a join on word, so nothing of the
-vocabulary's size is broadcast. Class pairs are summed over all training documents.
+them. Corpus counts of words are a sum over blocks by word, and come back to each block by a join on word. Counts of
+pairs go the same way as packed arrays: a block sends its distinct pairs, dealt by a 64-bit hash of their words, each
+part sums them, and the sums go back in the order in which they came. So nothing of the size of the vocabulary or of the
+pairs is broadcast or collected, and a pair that is everywhere costs one count a block. For the weights the driver gets
+counts of held-out tokens by bucket and by the likelihood ratios of the orders, in steps of a quarter of an octave:
+a number of rows with a fixed bound.
 
 Null and empty texts have the end alone. Repeated rows count as often as they occur, a null doc_id hashes as empty
 text. Without training rows all estimates are uniform. Extra columns are not read. An empty table gives no rows.
@@ -23,19 +27,21 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm.common import documents, id_remainder, materialize
+from quarry.llm.common import documents, id_remainder, materialize, partitions
 
 FOLDS, TEST, HELD = 7, 2, 3
-FREQUENT = 5e-4
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 6_000_000
 END = b""
+#: Steps of an octave in which likelihood ratios are told apart, and their number on either side of 1; a ratio of 0 is the lowest.
+_STEPS, _REACH = 4, 255
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """block, words, n_train, doc_ids, folds, n_tokens, tokens (32-bit indices of words) of about BLOCK_CHARS characters."""
+    """block, words, n_main, n_held, doc_ids, folds, n_tokens, tokens (32-bit indices of words) of about BLOCK_CHARS characters."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,13 +51,14 @@ def blocks(docs: DataFrame) -> DataFrame:
         def out(schema):
             lens = np.array([len(t) for _, _, t in held])
             tokens = np.concatenate([t for _, _, t in held])
-            train = np.bincount(tokens[np.repeat(np.array([f for _, f, _ in held]), lens) != TEST], minlength=len(number))
-            row = [[task << 24 | next(made)], [list(number)], [train], [[k for k, _, _ in held]], [[f for _, f, _ in held]], [lens], [tokens.tobytes()]]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, schema)], ["block", "words", "n_train", "doc_ids", "folds", "n_tokens", "tokens"])
+            fold = np.repeat(np.array([f for _, f, _ in held]), lens)
+            n_main, n_held = (np.bincount(tokens[some], minlength=len(number)) for some in ((fold != TEST) & (fold != HELD), fold == HELD))
+            row = [[task << 24 | next(made)], [list(number)], [n_main], [n_held], [[k for k, _, _ in held]], [[f for _, f, _ in held]], [lens], [tokens.tobytes()]]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, schema)], ["block", "words", "n_main", "n_held", "doc_ids", "folds", "n_tokens", "tokens"])
 
         schema = None
         for batch in batches:
-            schema = [pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(batch.schema.field("doc_id").type), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
+            schema = [pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(batch.schema.field("doc_id").type), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
             for key, fold, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "fold", "text"))):
                 words = (text or "").encode().lower().split()
                 words.append(END)
@@ -64,106 +71,158 @@ def blocks(docs: DataFrame) -> DataFrame:
             yield out(schema)
 
     source = docs.select("doc_id", id_remainder("doc_id", FOLDS).cast("int").alias("fold"), "text")
-    return source.mapInArrow(work, f"block long, words array<binary>, n_train array<long>, doc_ids array<{kind}>, folds array<int>, n_tokens array<int>, tokens binary")
+    return source.mapInArrow(work, f"block long, words array<binary>, n_main array<long>, n_held array<long>, doc_ids array<{kind}>, folds array<int>, n_tokens array<int>, tokens binary")
 
 
-def class_pairs(held: DataFrame, classes: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of class pairs, of training documents but HELD, and of HELD. Square matrices of the number of classes."""
-    n = len(classes) + 1
-    known = held.sparkSession.sparkContext.broadcast(classes)
+class Pairs:
+    """The pairs of neighbours in a block: context of each token, distinct pairs, and the part that each is dealt to."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, n * n), np.int64)
+    def __init__(self, words: list[bytes], tokens: np.ndarray, lens: np.ndarray, parts: int):
+        self.before = np.concatenate((tokens[:1], tokens[:-1]))
+        self.before[np.cumsum(lens) - lens] = words.index(END)
+        distinct, self.at = np.unique(self.before.astype(np.int64) * len(words) + tokens, return_inverse=True)
+        h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+        a, b = h[distinct // len(words)], h[distinct % len(words)]
+        key = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (b >> np.uint64(31)) ^ (b << np.uint64(33))
+        key ^= key >> np.uint64(29)
+        key *= np.uint64(0xBF58476D1CE4E5B9)
+        self.key = key ^ (key >> np.uint64(32))
+        part = (self.key >> np.uint64(24)) % np.uint64(parts)
+        self.order = np.argsort(part, kind="stable")
+        self.parts, first = np.unique(part[self.order], return_index=True)
+        self.cuts = [*first.tolist(), len(part)]
+
+
+def pair_counts(held: DataFrame) -> DataFrame:
+    """block, got array<struct<part, sums>>: for the pairs of a block, dealt to a part, how often main and held-out documents have them."""
+    parts = partitions(held.sparkSession)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in zip(*(batch.column(c) for c in ("words", "folds", "n_tokens", "tokens"))):
-                words, folds, lens, raw = (x.as_py() for x in row)
-                of = np.array([known.value.get(w, 0) for w in words])[np.frombuffer(raw, np.uint32)]
-                pair = np.concatenate(([known.value[END]], of[:-1])) * n + of  # what stands before a document is an end
-                fold = np.repeat(np.array(folds), np.array(lens))
-                sums[0] += np.bincount(pair[(fold != TEST) & (fold != HELD)], minlength=n * n)
-                sums[1] += np.bincount(pair[fold == HELD], minlength=n * n)
-        at = np.flatnonzero(sums.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[0][at]), pa.array(sums[1][at])], ["pair", "main", "held"])
-
-    found = held.select("words", "folds", "n_tokens", "tokens").mapInArrow(work, "pair long, main long, held long")
-    summed = found.groupBy("pair").agg(F.sum("main").alias("main"), F.sum("held").alias("held")).toPandas()
-    out = np.zeros((2, n * n), np.int64)
-    at = summed["pair"].to_numpy(np.int64)
-    out[0][at], out[1][at] = summed["main"].to_numpy(np.int64), summed["held"].to_numpy(np.int64)
-    return out[0].reshape(n, n), out[1].reshape(n, n)
-
-
-def _estimates(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order 2, order 1, bucket of each context. A context that was not seen takes order 1, and that order 0 where nothing was seen."""
-    context = counts.sum(axis=1)
-    one = counts.sum(axis=0) / counts.sum() if counts.any() else np.full(len(counts), 1 / len(counts))
-    two = np.where(context[:, None] > 0, counts / np.maximum(context, 1)[:, None], one[None, :])
-    return two, one, np.floor(np.log2(context + 1)).astype(int)
-
-
-def interpolation_weights(main: np.ndarray, held: np.ndarray, rounds: int = 50) -> np.ndarray:
-    """Weights of orders 2, 1, 0 for each bucket of context frequency; buckets without held-out counts take those of all."""
-    two, one, bucket = _estimates(main)
-    h, w = np.nonzero(held)
-    seen = held[h, w].astype(float)
-    parts = np.stack([two[h, w], one[w], np.full(len(h), 1 / len(main))])
+            for row in zip(*(batch.column(c) for c in ("block", "words", "folds", "n_tokens", "tokens"))):
+                block, words, folds, lens, raw = (x.as_py() for x in row)
+                lens = np.array(lens)
+                pairs, fold = Pairs(words, np.frombuffer(raw, np.uint32), lens, parts), np.repeat(np.array(folds), lens)
+                counts = [np.bincount(pairs.at[some], minlength=len(pairs.key)).astype(np.uint32) for some in ((fold != TEST) & (fold != HELD), fold == HELD)]
+                blobs = [b"".join(x[pairs.order[i:j]].tobytes() for x in (pairs.key, *counts)) for i, j in zip(pairs.cuts, pairs.cuts[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(blobs), pa.int64()), pa.array(pairs.parts.astype(np.int32)), pa.array(blobs, pa.binary())], ["block", "part", "pairs"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("part", "block", "pairs")))]
+        of = defaultdict(list)  # a task may have several parts, or none
+        for part, block, raw in rows:
+            of[part].append((block, raw))
+        for part, some in of.items():
+            sizes = [len(raw) // 16 for _, raw in some]
+            _, at = np.unique(np.concatenate([np.frombuffer(raw, np.uint64, n) for (_, raw), n in zip(some, sizes)]), return_inverse=True)
+            sums = [np.bincount(at, np.concatenate([np.frombuffer(raw, np.uint32, n, 8 * n + k * 4 * n) for (_, raw), n in zip(some, sizes)])).astype(np.int64)[at] for k in (0, 1)]
+            ends = np.cumsum(sizes).tolist()
+            blobs = [sums[0][i:j].tobytes() + sums[1][i:j].tobytes() for i, j in zip([0, *ends], ends)]
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in some], pa.int64()), pa.array([part] * len(some), pa.int32()), pa.array(blobs, pa.binary())], ["block", "part", "sums"])
+
+    sent = held.select("block", "words", "folds", "n_tokens", "tokens").mapInArrow(send, "block long, part int, pairs binary")
+    summed = sent.repartitionById(parts, F.col("part")).mapInArrow(total, "block long, part int, sums binary")
+    return summed.groupBy("block").agg(F.collect_list(F.struct("part", "sums")).alias("got"))
+
+
+def bucket(context: np.ndarray) -> np.ndarray:
+    return np.floor(np.log2(np.asarray(context, float) + 1)).astype(np.int64)
+
+
+def estimates(pair: np.ndarray, context: np.ndarray, word: np.ndarray, total: int, types: int) -> tuple[np.ndarray, np.ndarray]:
+    """Orders 2 and 1, as multiples of order 0 (one of types + 1). What was not seen takes the next order whole."""
+    one = word / total * (types + 1) if total else np.ones(len(word))
+    return np.where(context > 0, pair / np.maximum(context, 1) * (types + 1), one), one
+
+
+def ratio_code(context: np.ndarray, two: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Bucket of the context and the steps of both ratios, in one number."""
+
+    def steps(x: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore"):
+            return np.where(x > 0, np.clip(np.rint(_STEPS * np.log2(x)), 1 - _REACH, _REACH), -_REACH).astype(np.int64) + _REACH
+
+    return (bucket(context) << 20) | (steps(two) << 10) | steps(one)
+
+
+def interpolation_weights(codes: np.ndarray, n: np.ndarray, rounds: int = 50) -> np.ndarray:
+    """Weights of orders 2, 1, 0 for each bucket of context frequency, from held-out counts n by ratio_code; buckets without any take those of all."""
+    value = lambda s: np.where(s > 0, 2.0 ** ((s - _REACH) / _STEPS), 0.0)
+    parts = np.stack([value(codes >> 10 & 1023), value(codes & 1023), np.ones(len(codes))])
     weights = np.full((65, 3), 1 / 3)
 
-    def learn(at: np.ndarray, start: np.ndarray) -> np.ndarray:
-        mix = start
+    def learn(at: np.ndarray) -> np.ndarray:
+        mix = np.full(3, 1 / 3)
         for _ in range(rounds):
             share = mix[:, None] * parts[:, at]
-            mix = (share / share.sum(axis=0) * seen[at]).sum(axis=1)
+            mix = (share / share.sum(axis=0) * n[at]).sum(axis=1)
             mix = mix / mix.sum()
         return mix
 
-    if len(h):
-        weights[:] = learn(np.arange(len(h)), np.full(3, 1 / 3))
-        for b in np.unique(bucket[h]):
-            weights[b] = learn(np.flatnonzero(bucket[h] == b), np.full(3, 1 / 3))
-    mixed = 0.999 * weights + 0.001 / 3  # no order is ruled out
-    return mixed
+    if len(codes):
+        weights[:] = learn(np.arange(len(codes)))
+        for b in np.unique(codes >> 20):
+            weights[b] = learn(np.flatnonzero(codes >> 20 == b))
+    return 0.999 * weights + 0.001 / 3  # no order is ruled out
 
 
-def class_log10(main: np.ndarray, held: np.ndarray) -> np.ndarray:
-    """log10 probability of a class (column) after a class (row), estimated on all training counts."""
-    weights = interpolation_weights(main, held)
-    two, one, bucket = _estimates(main + held)
-    mix = weights[np.minimum(bucket, 64)]
-    return np.log10(mix[:, :1] * two + mix[:, 1:2] * one[None, :] + mix[:, 2:] / len(main))
+def log10_probability(weights: np.ndarray, pair: np.ndarray, context: np.ndarray, word: np.ndarray, total: int, types: int) -> np.ndarray:
+    two, one = estimates(pair, context, word, total, types)
+    mix = weights[np.minimum(bucket(context), 64)]
+    return np.log10((mix[:, 0] * two + mix[:, 1] * one + mix[:, 2]) / (types + 1))
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row."""
     held = materialize(blocks(docs), "blocks")
-    words = held.select("block", F.posexplode(F.arrays_zip("words", "n_train")).alias("at", "x")).select("block", "at", F.col("x.words").alias("word"), F.col("x.n_train").alias("n"))
-    vocabulary = materialize(words.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "vocabulary")
-    sums = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    total, types = int(sums["n"]), int(sums["v"])
-    frequent = vocabulary.where((F.col("c") >= FREQUENT * total) | (F.col("word") == F.lit(END))).collect()  # at most 1 / FREQUENT + 1 rows
-    classes = {bytes(r["word"]): k for k, r in enumerate(sorted(frequent, key=lambda r: (-r["c"], bytes(r["word"]))), 1)}
-    classes.setdefault(END, len(classes) + 1)
-    main, left = class_pairs(held, classes)
-    rare = total - sum(r["c"] for r in frequent) + types - len(frequent) + 1
-    model = docs.sparkSession.sparkContext.broadcast((classes, class_log10(main, left)))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    words = held.select("block", F.posexplode(F.arrays_zip("words", "n_main", "n_held")).alias("at", "x")).select("block", "at", F.col("x.words").alias("word"), F.col("x.n_main").alias("m"), F.col("x.n_held").alias("h"))
+    vocabulary = materialize(words.where("m + h > 0").groupBy("word").agg(F.sum("m").alias("m"), F.sum("h").alias("h")), "vocabulary")
+    none = F.lit(0).cast("long")
+    sums = vocabulary.agg(F.coalesce(F.sum("m"), none).alias("m"), F.coalesce(F.sum("h"), none).alias("h"), F.count("*").alias("v")).first()
+    main, total, types = int(sums["m"]), int(sums["m"] + sums["h"]), int(sums["v"])
+    kind, parts = docs.schema["doc_id"].dataType.simpleString(), partitions(docs.sparkSession)
+    names = ["doc_ids", "folds", "n_tokens", "end", "tokens", "c", "pairs", "code", "n"]
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A block with the counts of its words and of each token's pair, and what the weights are learned from."""
+        for batch in batches:
+            types_of = [pa.list_(batch.schema.field("doc_ids").type.value_type), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+            for row in zip(*(batch.column(c) for c in ("words", "doc_ids", "folds", "n_tokens", "tokens", "got", "ats", "ms", "hs"))):
+                words, keys, folds, lens, raw, got = (x.as_py() for x in row[:6])
+                m, h = np.zeros((2, len(words)), np.int64)
+                if row[6].is_valid:
+                    at = row[6].values.to_numpy()
+                    m[at], h[at] = row[7].values.to_numpy(), row[8].values.to_numpy()
+                tokens, lens = np.frombuffer(raw, np.uint32), np.array(lens)
+                pairs = Pairs(words, tokens, lens, parts)
+                blobs = [x["sums"] for x in sorted(got, key=lambda x: x["part"])]
+                pm, ph = np.zeros((2, len(pairs.key)), np.int64)
+                pm[pairs.order] = np.concatenate([np.frombuffer(b, np.int64, len(b) // 16) for b in blobs])
+                ph[pairs.order] = np.concatenate([np.frombuffer(b, np.int64, len(b) // 16, len(b) // 2) for b in blobs])
+                some = np.flatnonzero(np.repeat(np.array(folds), lens) == HELD)
+                context = m[pairs.before[some]]
+                codes, n = np.unique(ratio_code(context, *estimates(pm[pairs.at[some]], context, m[tokens[some]], main, types)), return_counts=True)
+                columns = [[keys], [folds], [lens], [words.index(END)], [raw], [(m + h).tobytes()], [(pm + ph)[pairs.at].tobytes()]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(columns, types_of)), *(pa.array([None], t) for t in types_of[7:])], names)
+                yield pa.RecordBatch.from_arrays([*(pa.array([None] * len(codes), t) for t in types_of[:7]), pa.array(codes), pa.array(n, pa.int64())], names)
+
+    back = words.select("block", "at", "word").join(vocabulary, "word").groupBy("block").agg(F.collect_list(F.struct("at", "m", "h")).alias("x"))
+    back = back.select("block", F.col("x.at").alias("ats"), F.col("x.m").alias("ms"), F.col("x.h").alias("hs"))
+    joined = held.join(pair_counts(held), "block").join(back, "block", "left").select("words", "doc_ids", "folds", "n_tokens", "tokens", "got", "ats", "ms", "hs")
+    linked = materialize(joined.mapInArrow(link, f"doc_ids array<{kind}>, folds array<int>, n_tokens array<int>, end int, tokens binary, c binary, pairs binary, code long, n long"), "linked")
+    learned = linked.where("code IS NOT NULL").groupBy("code").agg(F.sum("n").alias("n")).toPandas()  # so many rows at most: buckets x ratios squared
+    weights = docs.sparkSession.sparkContext.broadcast(interpolation_weights(learned["code"].to_numpy(np.int64), learned["n"].to_numpy(np.int64)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, logs = model.value
-        names = ("words", "doc_ids", "folds", "n_tokens", "tokens", "ats", "cs")
         for batch in batches:
-            for row in zip(*(batch.column(c) for c in names)):
-                words, keys, folds, lens, raw = (x.as_py() for x in row[:5])
-                c = np.zeros(len(words), np.int64)
-                if row[5].is_valid:
-                    c[row[5].values.to_numpy()] = row[6].values.to_numpy()
-                of = np.array([known.get(w, 0) for w in words])
-                tokens, lens = np.frombuffer(raw, np.uint32), np.array(lens)
-                starts = np.concatenate(([0], np.cumsum(lens)[:-1]))
-                base = np.log10((c + 1) / (total + types + 1))
-                inner = np.where(of == 0, np.log10((c + 1) / rare), 0.0)
-                cls = of[tokens]
-                p = logs[np.concatenate(([known[END]], cls[:-1])), cls] + inner[tokens]
+            for row in zip(*(batch.column(c) for c in names[:7])):
+                keys, folds, lens, end, *raw = (x.as_py() for x in row)
+                tokens, c, pair = (np.frombuffer(b, t) for b, t in zip(raw, (np.uint32, np.int64, np.int64)))
+                lens = np.array(lens)
+                starts = np.cumsum(lens) - lens
+                before = np.concatenate((tokens[:1], tokens[:-1]))
+                before[starts] = end
+                p = log10_probability(weights.value, pair, c[before], c[tokens], total, types)
                 summed = lambda x: np.add.reduceat(x, starts)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -172,16 +231,13 @@ def score(docs: DataFrame) -> DataFrame:
                         pa.array(lens.astype(np.int64)),
                         pa.array(summed((c > 0).astype(np.int64)[tokens])),
                         pa.array(np.full(len(lens), total, np.int64)),
-                        pa.array(summed(base[tokens])),
+                        pa.array(summed(np.log10((c + 1) / (total + types + 1))[tokens])),
                         pa.array(summed(p)),
                     ],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    back = words.select("block", "at", "word").join(vocabulary, "word").groupBy("block").agg(F.collect_list(F.struct("at", "c")).alias("x"))
-    back = back.select("block", F.col("x.at").alias("ats"), F.col("x.c").alias("cs"))
-    joined = held.join(back, "block", "left").select("words", "doc_ids", "folds", "n_tokens", "tokens", "ats", "cs")
-    return joined.mapInArrow(work, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return linked.where("code IS NULL").select(*names[:7]).mapInArrow(work, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -302,31 +302,52 @@ def test_plan_is_best_fit_decreasing():
 
 def test_lm(spark, sf_dir, docs):
     got = by_id(lm.op9_lm_scores(spark, sf_dir))
-    tokens = [[*words(t), None] for _, t in docs]
-    held = [zlib.crc32(str(k).encode()) % 7 == 2 for k, _ in docs]
-    c = collections.Counter(w for t, h in zip(tokens, held) if not h for w in t)
+    tokens = [[*words(t), ""] for _, t in docs]
+    fold = [zlib.crc32(str(k).encode()) % 7 for k, _ in docs]
+    one, two = [collections.Counter() for _ in range(2)], [collections.Counter() for _ in range(2)]
+    for t, f in zip(tokens, fold):
+        if f != 2:
+            one[f == 3].update(t)
+            two[f == 3].update(zip(["", *t], t))
+    c, pairs = one[0] + one[1], two[0] + two[1]
     n, v = sum(c.values()), len(c)
-    for r, t, h in zip(got, tokens, held):
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (h, len(t), sum(c[w] > 0 for w in t), n)
+    array = lambda f, some: np.array([f(a, w) for a, w in some])
+    left = sorted(two[1])
+    context = array(lambda a, w: one[0][a], left)
+    ratios = lm.estimates(array(lambda a, w: two[0][a, w], left), context, array(lambda a, w: one[0][w], left), sum(one[0].values()), v)
+    weights = lm.interpolation_weights(lm.ratio_code(context, *ratios), array(lambda a, w: two[1][a, w], left))
+    for r, t, f in zip(got, tokens, fold):
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (f == 2, len(t), sum(c[w] > 0 for w in t), n)
         assert r["base_score"] == pytest.approx(sum(np.log10((c[w] + 1) / (n + v + 1)) for w in t))
+        want = 0
+        for a, w in zip(["", *t], t):
+            x = weights[int(np.log2(c[a] + 1))]
+            p1 = c[w] / n
+            want += np.log10(x[0] * (pairs[a, w] / c[a] if c[a] else p1) + x[1] * p1 + x[2] / (v + 1))
+        assert r["score"] == pytest.approx(want)
     assert sum(r["score"] for r in got if r["held_out"]) > sum(r["base_score"] for r in got if r["held_out"])
 
 
 def test_lm_is_a_distribution():
     rng = np.random.default_rng(1)
-    main, left = rng.integers(0, 50, (9, 9)) * rng.integers(0, 2, (9, 9)), rng.integers(0, 9, (9, 9))
-    main[4] = 0
-    assert (10 ** lm.class_log10(main, left)).sum(axis=1) == pytest.approx(np.ones(9))
-    assert lm.interpolation_weights(main, left).sum(axis=1) == pytest.approx(np.ones(65))
-    assert (10 ** lm.class_log10(main * 0, left * 0)).sum(axis=1) == pytest.approx(np.ones(9))
+    pairs = rng.integers(0, 50, (9, 9)) * rng.integers(0, 2, (9, 9))
+    pairs[4] = pairs[:, 4] = 0  # seen nowhere: the unknown word
+    context, word = pairs.sum(axis=1), pairs.sum(axis=0)
+    weights = lm.interpolation_weights(lm.ratio_code(np.array([3, 900]), np.array([0.0, 40.0]), np.array([2.0, 0.0])), np.array([5, 7]))
+    assert weights.sum(axis=1) == pytest.approx(np.ones(65))
+    for a in range(9):
+        p = 10 ** lm.log10_probability(weights, pairs[a], np.full(9, context[a]), word, int(word.sum()), 8)
+        assert p.sum() == pytest.approx(1) and (p > 0).all()
+    zero = np.zeros(9, int)
+    assert 10 ** lm.log10_probability(weights, zero, zero, zero, 0, 8) == pytest.approx(np.full(9, 1 / 9))
 
 
 def test_lm_weights_do_not_lower_held_out_likelihood():
     rng = np.random.default_rng(2)
-    main, left = rng.integers(0, 30, (6, 6)), rng.integers(1, 9, (6, 6))
-    two, one, bucket = lm._estimates(main)
-    value = lambda w: (left * np.log(w[bucket][:, :1] * two + w[bucket][:, 1:2] * one + w[bucket][:, 2:] / 6)).sum()
-    assert value(lm.interpolation_weights(main, left)) >= value(np.full((65, 3), 1 / 3)) - 0.5
+    context, two, one, n = rng.integers(0, 5000, 400), rng.random(400) * 100 * rng.integers(0, 2, 400), rng.random(400) * 5, rng.integers(1, 9, 400)
+    weights = lm.interpolation_weights(lm.ratio_code(context, two, one), n)
+    value = lambda w: (n * np.log(w[lm.bucket(context)][:, 0] * two + w[lm.bucket(context)][:, 1] * one + w[lm.bucket(context)][:, 2])).sum()
+    assert value(weights) >= value(np.full((65, 3), 1 / 3)) - 1
 
 
 def test_token_files(spark, sf_dir, docs, library):
