@@ -7,13 +7,12 @@ expectation-maximisation on the counts of training documents that are left out o
 estimates that score are those of all training documents. After a context that was not seen, order 1 stands in for
 order 2. The distribution sums to one.
 
-Each task turns its documents into blocks: distinct words with their training counts, and the documents as indices of
-them. Corpus counts of words are a sum over blocks by word, and come back to each block by a join on word. Counts of
-pairs go the same way as packed arrays: a block sends its distinct pairs, dealt by a 64-bit hash of their words, each
-part sums them, and the sums go back in the order in which they came. So nothing of the size of the vocabulary or of the
-pairs is broadcast or collected, and a pair that is everywhere costs one count a block. For the weights the driver gets
-counts of held-out tokens by bucket and by the likelihood ratios of the orders, in steps of a quarter of an octave:
-a number of rows with a fixed bound.
+Each task turns its documents into blocks: distinct words, and the documents as indices of them. Corpus counts go one
+way: a block sends its distinct words and its distinct pairs (as 64-bit hashes of both words) with their counts, packed,
+to the part that their hash falls in; a part sums them over all blocks, and the sums go back in the order in which they
+came. So nothing of the size of the vocabulary or of the pairs is broadcast or collected, and a word or pair that is
+everywhere costs one count a block. For the weights the driver gets counts of held-out tokens by bucket and by the
+likelihood ratios of the orders, in steps of a quarter of an octave: a number of rows with a fixed bound.
 
 Null and empty texts have the end alone. Repeated rows count as often as they occur, a null doc_id hashes as empty
 text. Without training rows all estimates are uniform. Extra columns are not read. An empty table gives no rows.
@@ -28,20 +27,43 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarry.llm.common import documents, id_remainder, materialize, partitions
 
 FOLDS, TEST, HELD = 7, 2, 3
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 12_000_000
 END = b""
 #: Steps of an octave in which likelihood ratios are told apart, and their number on either side of 1; a ratio of 0 is the lowest.
 _STEPS, _REACH = 4, 255
 
 
+def pack(x: np.ndarray) -> bytes:
+    """Integers from 0, as compressed planes of bytes, the empty ones left out."""
+    x = np.ascontiguousarray(x, np.uint64)
+    width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
+    return len(x).to_bytes(4, "little") + bytes([width]) + zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes(), 1)
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    n, width = int.from_bytes(raw[:4], "little"), raw[4]
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(zstandard.decompress(raw[5:]), np.uint8).reshape(width, n).T
+    return out.view(np.uint64).reshape(-1)
+
+
+def pack_words(words: list[bytes]) -> bytes:
+    return zstandard.compress(b"\n".join(words), 3)  # no word has white space
+
+
+def unpack_words(raw: bytes) -> list[bytes]:
+    return zstandard.decompress(raw).split(b"\n")
+
+
 def blocks(docs: DataFrame) -> DataFrame:
-    """block, words, n_main, n_held, doc_ids, folds, n_tokens, tokens (32-bit indices of words) of about BLOCK_CHARS characters."""
+    """block, words, doc_ids, folds, n_tokens, tokens (packed indices of words) of about BLOCK_CHARS characters."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,16 +71,12 @@ def blocks(docs: DataFrame) -> DataFrame:
         number, held, size = defaultdict(count().__next__), [], 0
 
         def out(schema):
-            lens = np.array([len(t) for _, _, t in held])
-            tokens = np.concatenate([t for _, _, t in held])
-            fold = np.repeat(np.array([f for _, f, _ in held]), lens)
-            n_main, n_held = (np.bincount(tokens[some], minlength=len(number)) for some in ((fold != TEST) & (fold != HELD), fold == HELD))
-            row = [[task << 24 | next(made)], [list(number)], [n_main], [n_held], [[k for k, _, _ in held]], [[f for _, f, _ in held]], [lens], [tokens.tobytes()]]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, schema)], ["block", "words", "n_main", "n_held", "doc_ids", "folds", "n_tokens", "tokens"])
+            row = [[task << 24 | next(made)], [pack_words(list(number))], [[k for k, _, _ in held]], [[f for _, f, _ in held]], [[len(t) for _, _, t in held]], [pack(np.concatenate([t for _, _, t in held]))]]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, schema)], ["block", "words", "doc_ids", "folds", "n_tokens", "tokens"])
 
         schema = None
         for batch in batches:
-            schema = [pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(batch.schema.field("doc_id").type), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
+            schema = [pa.int64(), pa.binary(), pa.list_(batch.schema.field("doc_id").type), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
             for key, fold, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "fold", "text"))):
                 words = (text or "").encode().lower().split()
                 words.append(END)
@@ -71,58 +89,99 @@ def blocks(docs: DataFrame) -> DataFrame:
             yield out(schema)
 
     source = docs.select("doc_id", id_remainder("doc_id", FOLDS).cast("int").alias("fold"), "text")
-    return source.mapInArrow(work, f"block long, words array<binary>, n_main array<long>, n_held array<long>, doc_ids array<{kind}>, folds array<int>, n_tokens array<int>, tokens binary")
-
-
-class Pairs:
-    """The pairs of neighbours in a block: context of each token, distinct pairs, and the part that each is dealt to."""
-
-    def __init__(self, words: list[bytes], tokens: np.ndarray, lens: np.ndarray, parts: int):
-        self.before = np.concatenate((tokens[:1], tokens[:-1]))
-        self.before[np.cumsum(lens) - lens] = words.index(END)
-        distinct, self.at = np.unique(self.before.astype(np.int64) * len(words) + tokens, return_inverse=True)
-        h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-        a, b = h[distinct // len(words)], h[distinct % len(words)]
+    return source.mapInArrow(work, f"block long, words binary, doc_ids array<{kind}>, folds array<int>, n_tokens array<int>, tokens binary")
+
+
+class Dealt:
+    """Hashes in ascending order, cut evenly into parts: the same for a block whenever it is computed."""
+
+    def __init__(self, keys: np.ndarray, parts: int):
+        self.order = np.argsort(keys, kind="stable")
+        self.keys = keys[self.order]
+        bounds = np.array([(k << 64) // parts for k in range(parts)], np.uint64)
+        cuts = [0, *np.searchsorted(self.keys, bounds[1:]).tolist(), len(keys)]
+        #: (part, first and last place in the order, least hash of the part)
+        self.slices = [(k, i, j, bounds[k]) for k, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
+
+    def back(self, sums: list[bytes]) -> np.ndarray:
+        """The packed values of all slices, in the order of the keys as they were given."""
+        out = np.zeros(len(self.order), np.int64)
+        if sums:
+            out[self.order] = np.concatenate([unpack(x) for x in sums]).astype(np.int64)
+        return out
+
+
+class Block:
+    """Words and tokens of a block, the context of each token, and the distinct pairs of both."""
+
+    def __init__(self, words: bytes, folds: list[int], lens: list[int], tokens: bytes, parts: int):
+        self.words, self.lens, self.tokens = unpack_words(words), np.array(lens), unpack(tokens).astype(np.int64)
+        self.folds = np.repeat(np.array(folds), self.lens)
+        self.end = self.words.index(END)
+        self.before = contexts(self.tokens, self.lens, self.end)
+        n = len(self.words)
+        distinct, self.pair = np.unique(self.before * n + self.tokens, return_inverse=True)
+        h = np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, n)
+        a, b = h[distinct // n], h[distinct % n]
         key = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (b >> np.uint64(31)) ^ (b << np.uint64(33))
         key ^= key >> np.uint64(29)
         key *= np.uint64(0xBF58476D1CE4E5B9)
-        self.key = key ^ (key >> np.uint64(32))
-        part = (self.key >> np.uint64(24)) % np.uint64(parts)
-        self.order = np.argsort(part, kind="stable")
-        self.parts, first = np.unique(part[self.order], return_index=True)
-        self.cuts = [*first.tolist(), len(part)]
+        self.dealt_words, self.dealt_pairs = Dealt(h, parts), Dealt(key ^ (key >> np.uint64(32)), parts)
+
+    def counts(self, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Counts in main and in held-out training documents."""
+        main, held = ((self.folds != TEST) & (self.folds != HELD)), self.folds == HELD
+        return np.bincount(of[main], minlength=n), np.bincount(of[held], minlength=n)
+
 
+def contexts(tokens: np.ndarray, lens: np.ndarray, end: int) -> np.ndarray:
+    before = np.concatenate((tokens[:1], tokens[:-1]))
+    before[np.cumsum(lens) - lens] = end
+    return before
 
-def pair_counts(held: DataFrame) -> DataFrame:
-    """block, got array<struct<part, sums>>: for the pairs of a block, dealt to a part, how often main and held-out documents have them."""
+
+def corpus_counts(held: DataFrame) -> DataFrame:
+    """block, slot, main, held: packed corpus counts of the words (slot below the number of parts) and of the pairs of a block.
+
+    Rows without a block have the sums of a part's words: n_main, n_held, n_types.
+    """
     parts = partitions(held.sparkSession)
+    names = ["block", "slot", "main", "held", "n_main", "n_held", "n_types"]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in zip(*(batch.column(c) for c in ("block", "words", "folds", "n_tokens", "tokens"))):
-                block, words, folds, lens, raw = (x.as_py() for x in row)
-                lens = np.array(lens)
-                pairs, fold = Pairs(words, np.frombuffer(raw, np.uint32), lens, parts), np.repeat(np.array(folds), lens)
-                counts = [np.bincount(pairs.at[some], minlength=len(pairs.key)).astype(np.uint32) for some in ((fold != TEST) & (fold != HELD), fold == HELD)]
-                blobs = [b"".join(x[pairs.order[i:j]].tobytes() for x in (pairs.key, *counts)) for i, j in zip(pairs.cuts, pairs.cuts[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(blobs), pa.int64()), pa.array(pairs.parts.astype(np.int32)), pa.array(blobs, pa.binary())], ["block", "part", "pairs"])
+                key, *rest = (x.as_py() for x in row)
+                b, out = Block(*rest, parts), []
+                for first, dealt, of in ((0, b.dealt_words, b.tokens), (parts, b.dealt_pairs, b.pair)):
+                    counts = [x[dealt.order] for x in b.counts(of, len(dealt.order))]
+                    for k, i, j, least in dealt.slices:
+                        keys = pack(np.diff(dealt.keys[i:j], prepend=least)) if first else pack_words([b.words[x] for x in dealt.order[i:j].tolist()])
+                        out.append((key, first + k, keys, *(pack(x[i:j]) for x in counts)))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int32(), *3 * [pa.binary()]))], ["block", "slot", "keys", "main", "held"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("part", "block", "pairs")))]
-        of = defaultdict(list)  # a task may have several parts, or none
-        for part, block, raw in rows:
-            of[part].append((block, raw))
-        for part, some in of.items():
-            sizes = [len(raw) // 16 for _, raw in some]
-            _, at = np.unique(np.concatenate([np.frombuffer(raw, np.uint64, n) for (_, raw), n in zip(some, sizes)]), return_inverse=True)
-            sums = [np.bincount(at, np.concatenate([np.frombuffer(raw, np.uint32, n, 8 * n + k * 4 * n) for (_, raw), n in zip(some, sizes)])).astype(np.int64)[at] for k in (0, 1)]
-            ends = np.cumsum(sizes).tolist()
-            blobs = [sums[0][i:j].tobytes() + sums[1][i:j].tobytes() for i, j in zip([0, *ends], ends)]
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in some], pa.int64()), pa.array([part] * len(some), pa.int32()), pa.array(blobs, pa.binary())], ["block", "part", "sums"])
-
-    sent = held.select("block", "words", "folds", "n_tokens", "tokens").mapInArrow(send, "block long, part int, pairs binary")
-    summed = sent.repartitionById(parts, F.col("part")).mapInArrow(total, "block long, part int, sums binary")
-    return summed.groupBy("block").agg(F.collect_list(F.struct("part", "sums")).alias("got"))
+        of = defaultdict(list)  # a task may have several slots, or none
+        for batch in batches:
+            for slot, *row in zip(*(batch.column(c).to_pylist() for c in ("slot", "block", "keys", "main", "held"))):
+                of[slot].append(row)
+        for slot, rows in of.items():
+            keys = [np.cumsum(unpack(x[1])) if slot >= parts else unpack_words(x[1]) for x in rows]
+            ends = np.cumsum([len(x) for x in keys]).tolist()
+            if slot >= parts:
+                at = np.unique(np.concatenate(keys), return_inverse=True)[1]
+            else:
+                at = pa.array([w for x in keys for w in x], pa.binary()).dictionary_encode().indices.to_numpy()
+            sums = [np.bincount(at, np.concatenate([unpack(x[k]) for x in rows])).astype(np.int64) for k in (2, 3)]
+            cut = [[pack(x[at[i:j]]) for i, j in zip([0, *ends], ends)] for x in sums]
+            none = [None] * len(rows)
+            columns = [[x[0] for x in rows], [slot] * len(rows), *cut, none, none, none]
+            if slot < parts:
+                columns = [[*column, x] for column, x in zip(columns, (None, slot, None, None, int(sums[0].sum()), int(sums[1].sum()), int((sums[0] + sums[1] > 0).sum())))]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), *3 * [pa.int64()]))], names)
+
+    sent = held.select("block", "words", "folds", "n_tokens", "tokens").mapInArrow(send, "block long, slot int, keys binary, main binary, held binary")
+    return sent.repartitionById(2 * parts, F.col("slot")).mapInArrow(total, "block long, slot int, main binary, held binary, n_main long, n_held long, n_types long")
 
 
 def bucket(context: np.ndarray) -> np.ndarray:
@@ -175,69 +234,59 @@ def log10_probability(weights: np.ndarray, pair: np.ndarray, context: np.ndarray
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row."""
     held = materialize(blocks(docs), "blocks")
-    words = held.select("block", F.posexplode(F.arrays_zip("words", "n_main", "n_held")).alias("at", "x")).select("block", "at", F.col("x.words").alias("word"), F.col("x.n_main").alias("m"), F.col("x.n_held").alias("h"))
-    vocabulary = materialize(words.where("m + h > 0").groupBy("word").agg(F.sum("m").alias("m"), F.sum("h").alias("h")), "vocabulary")
+    counted = materialize(corpus_counts(held), "counts")
     none = F.lit(0).cast("long")
-    sums = vocabulary.agg(F.coalesce(F.sum("m"), none).alias("m"), F.coalesce(F.sum("h"), none).alias("h"), F.count("*").alias("v")).first()
-    main, total, types = int(sums["m"]), int(sums["m"] + sums["h"]), int(sums["v"])
+    sums = counted.where("block IS NULL").agg(*[F.coalesce(F.sum(c), none).alias(c) for c in ("n_main", "n_held", "n_types")]).first()
+    main, total, types = int(sums["n_main"]), int(sums["n_main"] + sums["n_held"]), int(sums["n_types"])
     kind, parts = docs.schema["doc_id"].dataType.simpleString(), partitions(docs.sparkSession)
-    names = ["doc_ids", "folds", "n_tokens", "end", "tokens", "c", "pairs", "code", "n"]
+    names = ["doc_ids", "folds", "n_tokens", "end", "tokens", "pairs", "code", "n"]
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A block with the counts of its words and of each token's pair, and what the weights are learned from."""
+        """A block with the counts of each token and of its pair, and what the weights are learned from."""
         for batch in batches:
-            types_of = [pa.list_(batch.schema.field("doc_ids").type.value_type), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
-            for row in zip(*(batch.column(c) for c in ("words", "doc_ids", "folds", "n_tokens", "tokens", "got", "ats", "ms", "hs"))):
-                words, keys, folds, lens, raw, got = (x.as_py() for x in row[:6])
-                m, h = np.zeros((2, len(words)), np.int64)
-                if row[6].is_valid:
-                    at = row[6].values.to_numpy()
-                    m[at], h[at] = row[7].values.to_numpy(), row[8].values.to_numpy()
-                tokens, lens = np.frombuffer(raw, np.uint32), np.array(lens)
-                pairs = Pairs(words, tokens, lens, parts)
-                blobs = [x["sums"] for x in sorted(got, key=lambda x: x["part"])]
-                pm, ph = np.zeros((2, len(pairs.key)), np.int64)
-                pm[pairs.order] = np.concatenate([np.frombuffer(b, np.int64, len(b) // 16) for b in blobs])
-                ph[pairs.order] = np.concatenate([np.frombuffer(b, np.int64, len(b) // 16, len(b) // 2) for b in blobs])
-                some = np.flatnonzero(np.repeat(np.array(folds), lens) == HELD)
-                context = m[pairs.before[some]]
-                codes, n = np.unique(ratio_code(context, *estimates(pm[pairs.at[some]], context, m[tokens[some]], main, types)), return_counts=True)
-                columns = [[keys], [folds], [lens], [words.index(END)], [raw], [(m + h).tobytes()], [(pm + ph)[pairs.at].tobytes()]]
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(columns, types_of)), *(pa.array([None], t) for t in types_of[7:])], names)
-                yield pa.RecordBatch.from_arrays([*(pa.array([None] * len(codes), t) for t in types_of[:7]), pa.array(codes), pa.array(n, pa.int64())], names)
-
-    back = words.select("block", "at", "word").join(vocabulary, "word").groupBy("block").agg(F.collect_list(F.struct("at", "m", "h")).alias("x"))
-    back = back.select("block", F.col("x.at").alias("ats"), F.col("x.m").alias("ms"), F.col("x.h").alias("hs"))
-    joined = held.join(pair_counts(held), "block").join(back, "block", "left").select("words", "doc_ids", "folds", "n_tokens", "tokens", "got", "ats", "ms", "hs")
-    linked = materialize(joined.mapInArrow(link, f"doc_ids array<{kind}>, folds array<int>, n_tokens array<int>, end int, tokens binary, c binary, pairs binary, code long, n long"), "linked")
+            types_of = [batch.schema.field("doc_ids").type, pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+            for row in zip(*(batch.column(c) for c in ("doc_ids", "words", "folds", "n_tokens", "tokens", "got"))):
+                keys, words, folds, lens, tokens, got = (x.as_py() for x in row)
+                b = Block(words, folds, lens, tokens, parts)
+                got = sorted(got, key=lambda x: x["slot"])
+                m, h = (b.dealt_words.back([x[c] for x in got if x["slot"] < parts]) for c in ("main", "held"))
+                pm, ph = (b.dealt_pairs.back([x[c] for x in got if x["slot"] >= parts])[b.pair] for c in ("main", "held"))
+                some = b.folds == HELD
+                context = m[b.before[some]]
+                codes, n = np.unique(ratio_code(context, *estimates(pm[some], context, m[b.tokens[some]], main, types)), return_counts=True)
+                columns = [[keys], [folds], [lens], [int((m + h)[b.end])], [pack((m + h)[b.tokens])], [pack(pm + ph)]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(columns, types_of)), *(pa.array([None], t) for t in types_of[6:])], names)
+                yield pa.RecordBatch.from_arrays([*(pa.array([None] * len(codes), t) for t in types_of[:6]), pa.array(codes), pa.array(n, pa.int64())], names)
+
+    back = counted.where("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("slot", "main", "held")).alias("got"))
+    joined = held.join(back, "block").select("doc_ids", "words", "folds", "n_tokens", "tokens", "got")
+    linked = materialize(joined.mapInArrow(link, f"doc_ids array<{kind}>, folds array<int>, n_tokens array<int>, end long, tokens binary, pairs binary, code long, n long"), "linked")
     learned = linked.where("code IS NOT NULL").groupBy("code").agg(F.sum("n").alias("n")).toPandas()  # so many rows at most: buckets x ratios squared
     weights = docs.sparkSession.sparkContext.broadcast(interpolation_weights(learned["code"].to_numpy(np.int64), learned["n"].to_numpy(np.int64)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in zip(*(batch.column(c) for c in names[:7])):
+            for row in zip(*(batch.column(c) for c in names[:6])):
                 keys, folds, lens, end, *raw = (x.as_py() for x in row)
-                tokens, c, pair = (np.frombuffer(b, t) for b, t in zip(raw, (np.uint32, np.int64, np.int64)))
+                c, pair = (unpack(x).astype(np.int64) for x in raw)  # by token
                 lens = np.array(lens)
                 starts = np.cumsum(lens) - lens
-                before = np.concatenate((tokens[:1], tokens[:-1]))
-                before[starts] = end
-                p = log10_probability(weights.value, pair, c[before], c[tokens], total, types)
+                p = log10_probability(weights.value, pair, contexts(c, lens, end), c, total, types)
                 summed = lambda x: np.add.reduceat(x, starts)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(keys, batch.schema.field("doc_ids").type.value_type),
                         pa.array([f == TEST for f in folds], pa.bool_()),
                         pa.array(lens.astype(np.int64)),
-                        pa.array(summed((c > 0).astype(np.int64)[tokens])),
+                        pa.array(summed((c > 0).astype(np.int64))),
                         pa.array(np.full(len(lens), total, np.int64)),
-                        pa.array(summed(np.log10((c + 1) / (total + types + 1))[tokens])),
+                        pa.array(summed(np.log10((c + 1) / (total + types + 1)))),
                         pa.array(summed(p)),
                     ],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    return linked.where("code IS NULL").select(*names[:7]).mapInArrow(work, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return linked.where("code IS NULL").select(*names[:6]).mapInArrow(work, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
