@@ -1,8 +1,10 @@
 """Quality rules as a short-circuit cascade (DataFrame expressions only).
 
-`base_statistics` adds the counts that rules are written over. `plan_cascade` times each rule and counts what it
-rejects on a sample, and orders the rules by rejection per cost. `cascade_verdict` is the nested conditional in that
-order: a rule runs only where all rules before it let the row pass. The order never changes the verdict, only its cost.
+A rule is an expression over statistics of a text. `plan_cascade` counts what each rule rejects on the first rows that
+are at hand, and times it together with the statistics that it needs; it orders the rules by rejection per cost.
+`cascade_verdict` is the nested conditional in that order: a rule runs only where all rules before it let the row pass.
+Over columns of statistics (`quality_rules`) it decides alone; over a text (`verdict_of`) a statistic is not computed
+either where an earlier rule rejects. The order never changes the verdict, only its cost.
 
 Null texts have no words and count as empty; empty texts fail the word minimum; repeated rows are judged one by one;
 extra columns pass through, unless a column has the name of a statistic, which is then replaced. An empty table gives
@@ -12,6 +14,7 @@ an empty result.
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -36,9 +39,17 @@ def _repeat_words(words: Column, n: Column) -> Column:
     """
     starts = F.sequence(F.lit(1), n - (WINDOW - 1))
 
-    def exact(ws: Column) -> Column:
+    def doubled(hashes: Column, k: int) -> Column:
+        """From hashes of k words, those of 2 k words (and what goes over the end)."""
+        return _within(hashes, lambda a: F.zip_with(a, F.slice(a, k + 1, F.greatest(F.size(a), F.lit(1))), lambda x, y: F.xxhash64(x, y)))
+
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    for k in (1, 2, 4):
+        hashes = doubled(hashes, k)
+
+    def exact(ws: Column, hs: Column) -> Column:
         text = lambda s: F.array_join(F.slice(ws, s["i"], WINDOW), " ")
-        pairs = F.sort_array(F.transform(starts, lambda i: F.struct(F.xxhash64(F.slice(ws, i, WINDOW)).alias("h"), i.alias("i"))))
+        pairs = F.sort_array(F.zip_with(hs, starts, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
         def found(ps: Column) -> Column:
             same = lambda a, b: (a["h"] == b["h"]) & (text(a) == text(b))
@@ -53,103 +64,122 @@ def _repeat_words(words: Column, n: Column) -> Column:
 
         return _within(pairs, lambda ps: _within(F.sort_array(found(ps)), covered))
 
-    hashes = _within(words, lambda ws: F.transform(starts, lambda i: F.xxhash64(F.slice(ws, i, WINDOW))))
-    return F.when(n < WINDOW + 1, F.lit(0).cast("long")).when(F.size(F.array_distinct(hashes)) == n - (WINDOW - 1), F.lit(0).cast("long")).otherwise(_within(words, exact))
+    zero = F.lit(0).cast("long")
+    count = _within(F.slice(hashes, 1, n - (WINDOW - 1)), lambda hs: F.when(F.size(F.array_distinct(hs)) == F.size(hs), zero).otherwise(exact(words, hs)))
+    return F.when(n < WINDOW + 1, zero).otherwise(count)
+
+
+def _text(text: str) -> Column:
+    return F.coalesce(F.col(text), F.lit(""))
+
+
+def _words(t: Column) -> Column:
+    return F.filter(F.split(t, SPACE, -1), lambda w: w != "")
+
+
+def _statistic(t: Column, words: Column) -> Callable[[str], Column]:
+    """Statistics, all long, as expressions over a text and its words."""
+    less = lambda chars: (F.char_length(t) - F.char_length(F.regexp_replace(t, chars, ""))).cast("long")
+    lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    of = {
+        "n_words": lambda: F.size(words).cast("long"),
+        "word_chars": lambda: F.char_length(F.array_join(words, "")).cast("long"),
+        "n_symbols": lambda: less(r"[#*$%&|<>]+"),
+        "n_dup_lines": lambda: _within(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+        "n_repeat_words": lambda: _repeat_words(words, F.size(words)),
+        "n_upper": lambda: less("[A-Z]+"),
+        "n_pipes": lambda: less("[|]+"),
+    }
+    return lambda name: of[name]()
 
 
 def base_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_upper, n_pipes (all long)."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    keep = [c for c in docs.columns if c not in (*STATISTICS, "n_upper", "n_pipes", "_words", "_lines", "_text")]
-    wide = docs.select(*[F.col(f"`{c}`") for c in keep], t.alias("_text"), F.filter(F.split(t, SPACE, -1), lambda w: w != "").alias("_words"), lines.alias("_lines"))
-    less = lambda chars: (F.char_length("_text") - F.char_length(F.regexp_replace("_text", chars, ""))).cast("long")
-    n = F.size("_words")
-    return wide.select(
-        *[F.col(f"`{c}`") for c in keep],
-        n.cast("long").alias("n_words"),
-        F.char_length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-        less(r"[#*$%&|<>]+").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        _repeat_words(F.col("_words"), n).alias("n_repeat_words"),
-        less("[A-Z]+").alias("n_upper"),
-        less("[|]+").alias("n_pipes"),
-    )
+    names = (*STATISTICS, "n_upper", "n_pipes")
+    keep = [F.col(f"`{c}`") for c in docs.columns if c not in (*names, "_words", "_text")]
+    wide = docs.select(*keep, _text(text).alias("_text")).withColumn("_words", _words(F.col("_text")))
+    of = _statistic(F.col("_text"), F.col("_words"))
+    return wide.select(*keep, *[of(c).alias(c) for c in names])
 
 
 @dataclass(frozen=True)
 class Rule:
-    """rejects: true where the rule rejects a row."""
+    """rejects: given what turns the name of a statistic into its column, true where the rule rejects a row."""
 
     name: str
-    rejects: Column
+    rejects: Callable[[Callable[[str], Column]], Column]
 
 
 def base_rules() -> list[Rule]:
     return [
-        Rule("few_words", F.col("n_words") < 20),
-        Rule("repeated_windows", 100 * F.col("n_repeat_words") > 30 * F.col("n_words")),
+        Rule("few_words", lambda c: c("n_words") < 20),
+        Rule("repeated_windows", lambda c: 100 * c("n_repeat_words") > 30 * c("n_words")),
     ]
 
 
 def production_rules() -> list[Rule]:
     """The rules of op4: two base rules, and what the verdict adds to them."""
-    n = F.col("n_words")
     return [
         *base_rules(),
-        Rule("symbols", 10 * F.col("n_symbols") > n),
-        Rule("word_length", (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 15 * n)),
-        Rule("shouting", 10 * F.col("n_upper") > 4 * F.col("word_chars")),
-        Rule("repeated_lines", 2 * F.col("n_dup_lines") > n),
-        Rule("table_cells", 10 * F.col("n_pipes") > n),
+        Rule("symbols", lambda c: 10 * c("n_symbols") > c("n_words")),
+        Rule("word_length", lambda c: ~c("word_chars").between(2 * c("n_words"), 15 * c("n_words"))),
+        Rule("shouting", lambda c: 10 * c("n_upper") > 4 * c("word_chars")),
+        Rule("repeated_lines", lambda c: 2 * c("n_dup_lines") > c("n_words")),
+        Rule("table_cells", lambda c: 10 * c("n_pipes") > c("n_words")),
     ]
 
 
-def plan_cascade(stats: DataFrame, rules: list[Rule], sample_rows: int = 2000, repeats: int = 2) -> list[dict]:
-    """Rules in the order of rejection per cost, each with its cost (seconds over the sample) and selectivity.
+def plan_cascade(docs: DataFrame, rules: list[Rule], sample_rows: int = 500, repeats: int = 2, text: str = "text") -> list[dict]:
+    """Rules in the order of rejection per cost, each with its cost (seconds over the sample, its statistics included) and selectivity.
 
-    The sample holds at most sample_rows rows; it decides on the order alone, never on a verdict. On an empty sample,
-    and where costs tie, the given order stays.
+    The sample is what the first partitions give until sample_rows rows are found; only flags come to the driver. It
+    decides on the order alone, never on a verdict. On an empty sample the given order stays.
     """
-    spark = stats.sparkSession
-    sample = stats.limit(sample_rows).persist()
-    try:
-        n = sample.count()
-        if not n:
-            return [{"rule": r, "cost": 0.0, "rejected": 0.0} for r in rules]
-        shares = sample.agg(*[F.avg(F.coalesce(r.rejects, F.lit(False)).cast("int")).alias(f"r{k}") for k, r in enumerate(rules)]).first()
-
-        def seconds(r: Rule) -> float:
-            best = float("inf")
-            for _ in range(repeats):
-                began = time.perf_counter()
-                sample.select(r.rejects.alias("x")).write.format("noop").mode("overwrite").save()
-                best = min(best, time.perf_counter() - began)
-            return best
-
-        found = [{"rule": r, "cost": seconds(r), "rejected": float(shares[k])} for k, r in enumerate(rules)]
-    finally:
-        sample.unpersist()
-    del spark
-    return sorted(found, key=lambda x: -x["rejected"] / max(x["cost"], 1e-6))
-
-
-def cascade_verdict(rules: list[Rule]) -> Column:
+    rejected = lambda r: verdict_of(text, lambda of: F.coalesce(r.rejects(of), F.lit(False))).cast("int")
+
+    def seconds(column: Column) -> float:
+        best = float("inf")
+        for _ in range(repeats):
+            began = time.perf_counter()
+            docs.select(column).take(sample_rows)
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    flags = docs.select(*[rejected(r).alias(f"r{k}") for k, r in enumerate(rules)]).take(sample_rows)
+    if not flags:
+        return [{"rule": r, "cost": 0.0, "rejected": 0.0} for r in rules]
+    least = seconds(verdict_of(text, lambda of: F.lit(True)))  # reading, and cutting into words
+    found = [{"rule": r, "cost": max(seconds(rejected(r)) - least, 1e-3), "rejected": sum(x[k] for x in flags) / len(flags)} for k, r in enumerate(rules)]
+    return sorted(found, key=lambda x: -x["rejected"] / x["cost"])
+
+
+def cascade_verdict(rules: list[Rule], of: Callable[[str], Column] = F.col) -> Column:
     """True where no rule rejects; later rules are not evaluated on rows that an earlier one rejected. A null counts as no rejection."""
     verdict = F.lit(True)
     for r in reversed(rules):
-        verdict = F.when(F.coalesce(r.rejects, F.lit(False)), F.lit(False)).otherwise(verdict)
+        verdict = F.when(F.coalesce(r.rejects(of), F.lit(False)), F.lit(False)).otherwise(verdict)
     return verdict
 
 
-def quality_rules(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = 2000) -> DataFrame:
-    """docs with the statistics, base_failed and kept. rules: over columns of docs and the statistics."""
-    stats = base_statistics(docs)
-    ordered = [x["rule"] for x in plan_cascade(stats, rules or production_rules(), sample_rows)]
+def verdict_of(text: str, f: Callable[[Callable[[str], Column]], Column]) -> Column:
+    """f over the statistics of a text column: its words are cut once, its statistics only as f comes to them."""
+    cut = _within(_text(text), lambda t: F.struct(t.alias("t"), _words(t).alias("w")))
+    return _within(cut, lambda x: f(_statistic(x["t"], x["w"])))
+
+
+def quality_rules(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = 500) -> DataFrame:
+    """docs with the statistics, base_failed and kept. rules: over the statistics."""
+    ordered = [x["rule"] for x in plan_cascade(docs, rules or production_rules(), sample_rows)]
     failed = F.lit(False)
     for r in base_rules():
-        failed = failed | F.coalesce(r.rejects, F.lit(False))
-    return stats.withColumn("base_failed", failed).withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(cascade_verdict(ordered)))
+        failed = failed | F.coalesce(r.rejects(F.col), F.lit(False))
+    return base_statistics(docs).withColumn("base_failed", failed).withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(cascade_verdict(ordered)))
+
+
+def kept_only(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = 500) -> DataFrame:
+    """Rows of docs that no rule rejects, with the columns of docs."""
+    ordered = [x["rule"] for x in plan_cascade(docs, rules or production_rules(), sample_rows)]
+    return docs.where(verdict_of("text", lambda of: cascade_verdict(ordered, of)))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,8 +188,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the rules reject go."""
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"), "text")  # so no statistic replaces a column
-    return quality_rules(whole).where("kept").select("document.*")
+    return kept_only(docs)
 
 
 SQL = r"""

@@ -389,3 +389,9 @@ def test_pipeline(spark, sf_dir):
     first, second = kept["quality_rules"], kept["simhash"]
     assert 0 < second <= first < common.documents(spark, sf_dir).count() and kept["suffix_dedup"] == kept["secrets"] == second
     assert docs.where("piece = 0").count() == second
+
+
+def test_rules_over_texts_and_over_statistics_agree(spark, sf_dir):
+    docs = common.documents(spark, sf_dir)
+    kept = sorted(r["doc_id"] for r in rules.quality_rules(docs).where("kept").collect())
+    assert sorted(r["doc_id"] for r in rules.kept_only(docs).collect()) == kept and kept
