@@ -107,6 +107,42 @@ def test_simhash_links_of_close_fingerprints(spark):
     assert got == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 2}
 
 
+def five_words(text):
+    w = words(text)
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+
+@pytest.mark.parametrize("frequent", [3, 10**9])
+def test_simhash_stage_finds_all_pairs_of_jaccard_08(spark, docs, monkeypatch, frequent):
+    monkeypatch.setattr(simhash, "_FREQUENT", frequent)
+    rng = random.Random(8)
+    rows = dict(docs)
+    for k in range(60):  # copies of 300 words with up to 20 changed: on either side of 0.8
+        text = [str(rng.randrange(500)) for _ in range(300)]
+        rows[10**6 + 10 * k] = " ".join(text)
+        for j in range(1, 4):
+            other = list(text)
+            for i in rng.sample(range(300), rng.randrange(1, 20)):
+                other[i] = "new"
+            rows[10**6 + 10 * k + j] = " ".join(other)
+    sets = {k: five_words(t) for k, t in rows.items()}
+    of = collections.defaultdict(set)
+    for k, s in sets.items():
+        for g in s:
+            of[g].add(k)
+    close, far = [], 0
+    for a in sets:
+        for b in {b for g in sets[a] for b in of[g] if b > a}:
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                close.append((a, b))
+                far += (fingerprint(rows[a]) ^ fingerprint(rows[b])).bit_count() > 2
+    assert far > 10
+    roots = smallest(sets, close)
+    held = frame(spark, list(rows.items()), extra=False)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_copies(held).collect()} == roots
+    assert sorted(r["doc_id"] for r in simhash.stage(spark, held, "").collect()) == sorted(set(roots.values()))
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(30)] + [(100, 50), (100, 60), (60, 40), (7, 7)]
     got = {r["v"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
