@@ -48,6 +48,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle(make, name: str) -> DataFrame:
+    """make() as a table of its own; the tables that it wrote on its way are dropped."""
+    before = len(_written)
+    out = materialize(make(), name)
+    for spark, path in _written[before:-1]:
+        _drop(spark, path)
+    del _written[before:-1]
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -15,25 +15,34 @@ by digest; grams that are hot (more than a quarter of a part's share) are cut ag
 equal keys leave a run once, however often they occur. What the driver holds is bounded by the number of parts.
 
 Null texts are empty; texts below SPAN bytes only repeat nothing. Repeated rows are equal texts. Extra columns pass
-through remove_repeats(). An empty table gives no rows.
+through remove_repeats() and remove_passages(). An empty table gives no rows.
+
+The pipeline's stage also cuts repeats of more than WORDS words, however short in bytes. remove_passages() runs the
+same sort over texts in which each pair of neighbouring words is a hash of PAIR bytes: SPAN such bytes are WORDS pairs,
+which are WORDS + 1 words. So the result is exact in words, but for collisions of hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quarry.llm import runs
-from quarry.llm.common import documents, materialize, partitions
+from quarry.llm.common import documents, materialize, partitions, settle
 
 SPAN, GRAM = 400, 200
 WINDOW = SPAN - GRAM + 1
 #: Reach of the primary direction beyond the gram: a span and the largest distance of two anchors.
 REACH = SPAN + WINDOW - GRAM
+PAIR = 8
+WORDS = SPAN // PAIR
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _BASE = 0x9E3779B97F4A7C15
 
 def _sha() -> Column:
@@ -379,26 +388,74 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return light.join(some.union(whole), "sha", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "own").alias("kept_sha256"))
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """docs with what repeats cut from text (a character cut in two goes as a whole), and n_chars counted anew where there is such a column."""
-    cut = Repeats(docs).cut()
+def pair_text(text: str | None) -> str:
+    """PAIR characters of ASCII for each two neighbouring words."""
+    h = np.array([xxhash.xxh64_intdigest(w) for w in (text or "").encode().split()], np.uint64)
+    x = (h[:-1] * np.uint64(_BASE)) ^ (h[1:] >> np.uint64(31)) ^ (h[1:] << np.uint64(33))
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(32)
+    return (x.view(np.uint8) & np.uint8(127)).tobytes().decode("ascii")
+
+
+def word_runs(raw: bytes, starts: list[int], ends: list[int]) -> tuple[list[int], list[int]]:
+    """Runs of the pair text as runs of bytes of the text itself, from the first word of the first pair to the second of the last."""
+    at = [m.span() for m in _WORD.finditer(raw)]
+    runs_of = [(-(-s // PAIR), e // PAIR) for s, e in zip(starts, ends)]
+    return [at[i][0] for i, _ in runs_of], [at[j][1] for _, j in runs_of]
+
+
+def _without(docs: DataFrame, cut: DataFrame) -> DataFrame:
+    """docs without the runs of cut (sha; starts, ends in bytes; pair_starts, pair_ends in the pair text; nulls where there are none)."""
     names = docs.columns
     at = names.index("text")
-    sha, starts, ends = (next(c for c in (f"{x}_{k}" for k in range(len(names) + 1)) if c not in names) for x in ("sha", "starts", "ends"))
+    inner = ("sha", "starts", "ends", "pair_starts", "pair_ends")
+    sha, *of = (next(c for c in (f"{x}_{k}" for k in range(len(names) + 1)) if c not in names) for x in inner)
+
+    def left(text: str | None, starts, ends, pair_starts, pair_ends) -> str | None:
+        if text is None or (starts is None and pair_starts is None):
+            return text
+        raw = text.encode()
+        more = word_runs(raw, pair_starts or [], pair_ends or [])
+        s, e = _joined(*(np.array([*(x or []), *y], np.int64) for x, y in zip((starts, ends), more)))
+        return keep(raw, s.tolist(), e.tolist()).decode("utf-8", "ignore")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = batch.column("text")
-            new = [t if s is None or t is None else keep(t.encode(), s, e).decode("utf-8", "ignore") for t, s, e in zip(*(batch.column(c).to_pylist() for c in ("text", starts, ends)))]
             columns = [*batch.columns[: len(names)]]
-            columns[at] = pa.array(new, held.type)
+            columns[at] = pa.array([left(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("text", *of)))], held.type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    joined = docs.withColumn(sha, _sha()).join(cut.select(F.col("sha").alias(sha), F.col("starts").alias(starts), F.col("ends").alias(ends)), sha, "left")
-    out = joined.select(*[F.col(f"`{c}`") for c in names], starts, ends).mapInArrow(work, docs.schema)
+    joined = docs.withColumn(sha, _sha()).join(cut.select(*[F.col(x).alias(c) for x, c in zip(inner, (sha, *of))]), sha, "left")
+    out = joined.select(*[F.col(f"`{c}`") for c in names], *of).mapInArrow(work, docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """docs with what repeats cut from text (a character cut in two goes as a whole), and n_chars counted anew where there is such a column."""
+    nothing = F.lit(None).cast("array<int>")
+    return _without(docs, Repeats(docs).cut().withColumns({"pair_starts": nothing, "pair_ends": nothing}))
+
+
+def remove_passages(docs: DataFrame) -> DataFrame:
+    """As remove_repeats(), with repeats of more than WORDS words cut too."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("own"), pa.array([pair_text(t) for t in batch.column("text").to_pylist()], pa.string())], ["doc_id", "own", "text"])
+
+    def in_pairs() -> DataFrame:
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        pairs = materialize(docs.select("doc_id", _sha().alias("own"), "text").mapInArrow(work, f"doc_id {kind}, own binary, text string"), "pairs")
+        cut = Repeats(pairs.select("doc_id", "text")).cut()
+        found = pairs.select("own", _sha().alias("sha")).distinct().join(cut, "sha")
+        return found.select(F.col("own").alias("sha"), F.col("starts").alias("pair_starts"), F.col("ends").alias("pair_ends"))
+
+    in_bytes = settle(lambda: Repeats(docs).cut(), "cut")
+    return _without(docs, in_bytes.join(settle(in_pairs, "cut-pairs"), "sha", "full"))
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: repeated passages are cut from the texts; texts of which nothing is left stay as empty rows."""
-    return remove_repeats(docs)
+    return remove_passages(docs)

@@ -230,6 +230,31 @@ def test_suffix_dedup_of_hot_passages(spark, tmp_path):
     assert by_query(spark, tmp_path, list(enumerate(texts))) == removed(texts)
 
 
+def words_removed(texts, least=51):
+    """Words of each text that lie in a run of `least` words which also starts elsewhere."""
+    split = [t.split() for t in texts]
+    starts = collections.Counter(tuple(w[i : i + least]) for w in split for i in range(len(w) - least + 1))
+    return [{k for i in range(len(w) - least + 1) if starts[tuple(w[i : i + least])] > 1 for k in range(i, i + least)} for w in split]
+
+
+def test_suffix_stage_cuts_passages_of_more_than_50_words(spark):
+    rng = random.Random(5)
+    some = lambda n: [f"{rng.randrange(10**4)}" for _ in range(n)]
+    short = lambda n: [rng.choice("abcdefghijkl") for _ in range(n)]
+    passages = [make(n) for make in (some, short) for n in (49, 50, 51, 52, 60, 75)]
+    texts = []
+    for k in range(60):
+        words = some(30)
+        for p in rng.sample(passages, 3):
+            words += p + some(20)
+        texts.append(" ".join(words) if k % 2 else "\n".join(words))
+    gone = words_removed(texts)
+    assert any(gone) and all(len(" ".join(p)) < 400 for p in passages)
+    rows = [(k, t) for k, t in enumerate(texts)]
+    got = {r["doc_id"]: r["text"].split() for r in suffix.stage(spark, frame(spark, rows, extra=False), "").collect()}
+    assert got == {k: [w for i, w in enumerate(t.split()) if i not in gone[k]] for k, t in rows}
+
+
 def test_anchors_are_where_the_text_says():
     rng = random.Random(2)
     a = bytes(rng.choice(b"abcd") for _ in range(5000))
