@@ -96,7 +96,7 @@ def kmeans_grid(spark, d):
 @query("l6_density")
 def density(spark, d):
     v = vecs(spark, d).select("id", "embedding")
-    return cluster.fit_sample(v, "density", 5)
+    return cluster.label_all(v, cluster.fit_sample(v, "density", 5))
 
 
 @query("l9_ward")

@@ -230,3 +230,22 @@ def test_streaming(spark, tmp_path):
     q = cleaning.write_available(cleaning.first_seen(stream, "id", "ts"), str(tmp_path / "out"), str(tmp_path / "state"))
     assert q.awaitTermination(120)
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["1", "2"]
+
+
+def test_density_labels_every_row_beyond_the_fit(spark, tmp_path, monkeypatch):
+    import numpy as np
+
+    from quarry.operators import cluster
+
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(c, 0.2, (60, 4)) for c in (0, 5)] + [np.full((1, 4), 50.0)])
+    v = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "id long, embedding array<double>")
+    fitted = cluster.fit_sample(v, "density", 5, rows=60)
+    got = [(r["id"], r["cluster"]) for r in cluster.label_all(v, fitted).collect()]
+    labels = dict(got)
+    assert len(got) == len(labels) == 121
+    assert all(labels[r["id"]] == r["cluster"] for r in fitted.collect())
+    assert len({labels[k] for k in range(60)} - {-1}) == 1 == len({labels[k] for k in range(60, 120)} - {-1}) and labels[120] == -1
+    assert {labels[k] for k in range(60)} & {labels[k] for k in range(60, 120)} <= {-1}
+    noise = spark.createDataFrame([(0, -1)], "id long, cluster int")
+    assert {r["cluster"] for r in cluster.label_all(v, noise).collect()} == {-1}
