@@ -6,6 +6,10 @@ compressor primed with an identifier dictionary compresses the text around the c
 difference, the marginal bytes, is compared with the candidate's length. Words, names and anything repeated nearby cost
 a few bytes; random keys cost nearly all of theirs.
 
+A context begins at a sensitive word (camelCase too) and goes on from one secret to a string that follows it directly.
+What stands between the BEGIN and END lines of a private key is a secret as a whole. Of a string that a base span
+covers in part, the rest is measured.
+
 Spans are in code points, end exclusive. Null and empty texts have none. Repeated rows are scanned one by one; extra
 columns are not read by find(), and pass through redact().
 """
@@ -32,10 +36,18 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 _AS_HEX = bytes(104 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 _HEX_RUN = b"h" * 32
 _NAMES = ("passw", "secret", "token", "api")
-_SENSITIVE = re.compile(r"(?<![a-z])(passwords?|passwd|pwd|secrets?|tokens?|credentials?|bearer|authorization|private|api_?keys?|access_?keys?|client_?secret|keys?)(?![a-z])", re.IGNORECASE | re.ASCII)
+#: Where a word ends within letters: dbPassword, APIKey.
+_CAMEL = r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
+_SENSITIVE = re.compile(
+    r"(?:(?<![A-Za-z])|" + _CAMEL + r")(?i:passwords?|passwd|pwd|secrets?|tokens?|credentials?|bearer|authorization|private|api_?keys?|access_?keys?|client_?secret|keys?)(?:(?![A-Za-z])|" + _CAMEL + ")", re.ASCII
+)
 _CUES = ("passw", "pwd", "secret", "token", "credential", "bearer", "authorization", "private", "key")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_LEAST = 16
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % _LEAST)
 _REACH = 48
+#: What may stand between two strings that follow each other; the lines around a private key.
+_GAP = re.compile(r"[\s\"'+,;\\>|#*]{0,16}")
+_BEGIN, _FENCE = re.compile(r"-{4,5} ?BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z ]*-{4,5}"), re.compile(r"-{4,5} ?(BEGIN|END) ")
 
 #: Identifiers and words of code and prose that are no secrets; zstandard's raw-content dictionary.
 IDENTIFIERS = (
@@ -77,21 +89,57 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -
     low = text.lower()
     if not any(x in low for x in _CUES):
         return []
-    found, done = [], 0
+    found = key_blocks(text, base)
+    covered, done = sorted(base + found), 0
     for cue in _SENSITIVE.finditer(text):
-        for m in _CANDIDATE.finditer(text, max(done, cue.end()), min(len(text), cue.end() + _REACH + 4096)):
-            if m.start() > cue.end() + _REACH:
-                break
-            done = m.end()
-            word = m[0]
-            if not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)) or any(s < m.end() and m.start() < e for s, _, e in base):
-                continue
-            cost = novelty.marginal(text[max(0, m.start() - CONTEXT) : m.start()], word, text[m.end() : m.end() + CONTEXT])
-            if cost >= NOVELTY * len(word):
-                found.append((m.start(), 3, m.end()))
+        at, limit = max(done, cue.end()), cue.end() + _REACH
+        while (m := _CANDIDATE.search(text, at, min(len(text), max(at, limit + 4096)))) and m.start() <= limit:
+            at = done = m.end()
+            parts = _outside(m.start(), m.end(), covered)
+            whole = parts == [m.span()]
+            new = [(s, 3, e) for s, e in parts if _mixed(m[0]) and (s > m.start() or e - s >= _LEAST and _mixed(text[s:e])) and _novel(text, s, e, novelty)]
+            found += new
+            if new or not whole:
+                limit = max(limit, _GAP.match(text, at).end())
     return found
 
 
+def _mixed(word: str) -> bool:
+    return any(c.isdigit() for c in word) and any(c.isalpha() for c in word)
+
+
+def _outside(start: int, end: int, covered: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Parts of start to end that no covered span, in order of start, has."""
+    out = []
+    for s, _, e in covered:
+        if s >= end:
+            break
+        if e > start:
+            if s > start:
+                out.append((start, s))
+            start = e
+    return out + [(start, end)] if start < end else out
+
+
+def _novel(text: str, start: int, end: int, novelty: Novelty) -> bool:
+    """Whether the string costs NOVELTY bytes a character in its context."""
+    return novelty.marginal(text[max(0, start - CONTEXT) : start], text[start:end], text[end : end + CONTEXT]) >= NOVELTY * (end - start)
+
+
+def key_blocks(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the lines between BEGIN and END of private keys, apart from base spans."""
+    out = []
+    for begin in _BEGIN.finditer(text):
+        end = _FENCE.search(text, begin.end())
+        if not end or end[1] != "END":
+            continue
+        body = text[begin.end() : end.start()]
+        if any(_mixed(m[0]) for m in _CANDIDATE.finditer(body)):
+            start = begin.end() + len(body) - len(body.lstrip())
+            out += [(s, 3, e) for s, e in _outside(start, begin.end() + len(body.rstrip()), base) if text[s:e].strip()]
+    return out
+
+
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str], list[list], list[list]]]:
     novelty = Novelty()
     for batch in batches:
