@@ -3,8 +3,8 @@
 The patterns (assignments to a sensitive name, access key ids, long lower-case hexadecimal runs) give base spans. The
 method adds strings that stand in a sensitive context, are not covered by a base span, and do not compress: a zstandard
 compressor primed with an identifier dictionary compresses the text around the candidate with and without it; the
-difference, the marginal bytes, is compared with the candidate's length. Words, names and anything repeated nearby cost
-a few bytes; random keys cost nearly all of theirs.
+difference, the marginal bytes, is compared with the candidate's length. Words, names and what is like its surroundings
+cost a few bytes; random keys cost nearly all of theirs. Other occurrences of the candidate itself are masked before.
 
 A context begins at a sensitive word (camelCase too) and goes on from one secret to a string that follows it directly.
 What stands between the BEGIN and END lines of a private key is a secret as a whole. Of a string that a base span
@@ -121,9 +121,20 @@ def _outside(start: int, end: int, covered: list[tuple[int, int, int]]) -> list[
     return out + [(start, end)] if start < end else out
 
 
+def _masked(text: str, start: int, end: int, word: str) -> str:
+    """text from start to end, with spaces for word, also where only a part of it lies inside."""
+    first = max(0, start - len(word) + 1)
+    return text[first : end + len(word) - 1].replace(word, " " * len(word))[start - first : end - first]
+
+
 def _novel(text: str, start: int, end: int, novelty: Novelty) -> bool:
-    """Whether the string costs NOVELTY bytes a character in its context."""
-    return novelty.marginal(text[max(0, start - CONTEXT) : start], text[start:end], text[end : end + CONTEXT]) >= NOVELTY * (end - start)
+    """Whether the string costs NOVELTY bytes a character in its context without its own copies (of a name=value, the value's)."""
+    word = text[start:end]
+    value = word.rstrip("=").rsplit("=", 1)[-1]
+    own = value if len(value) >= _LEAST else word
+    around = text[max(0, start - CONTEXT - len(own)) : start], text[end : end + CONTEXT + len(own)]
+    before, after = _masked(around[0], max(0, len(around[0]) - CONTEXT), len(around[0]), own), _masked(around[1], 0, CONTEXT, own)
+    return novelty.marginal(before, word, after) >= NOVELTY * len(word)
 
 
 def key_blocks(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:

@@ -358,6 +358,12 @@ def test_secrets_beside_a_base_span():
     assert head not in left and tail not in left
 
 
+@pytest.mark.parametrize("form", ["key: {0}\nkey: {0}\n", "key: {0}\nexport KEY={0}\n", "the key {0} and again the key {0} then key {0}", "key: {0} " + "filler words of prose " * 6 + "key: {0}"])
+def test_secrets_repeated_nearby(form):
+    key = random_key(40, 3)
+    assert key not in redacted(form.format(key)) and key[-20:] not in redacted(form.format(key))
+
+
 def test_packing(spark, sf_dir, docs, library):
     got = packing.op8_packing(spark, sf_dir).collect()
     want = {}
