@@ -93,7 +93,8 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -
     covered, done = sorted(base + found), 0
     for cue in _SENSITIVE.finditer(text):
         at, limit = max(done, cue.end()), cue.end() + _REACH
-        while (m := _CANDIDATE.search(text, at, min(len(text), max(at, limit + 4096)))) and m.start() <= limit:
+        while m := _CANDIDATE.search(text, at, max(at, limit + _LEAST)):
+            m = _CANDIDATE.match(text, m.start())  # to its own end
             at = done = m.end()
             parts = _outside(m.start(), m.end(), covered)
             whole = parts == [m.span()]

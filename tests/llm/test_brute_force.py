@@ -364,6 +364,11 @@ def test_secrets_repeated_nearby(form):
     assert key not in redacted(form.format(key)) and key[-20:] not in redacted(form.format(key))
 
 
+def test_secrets_of_any_length():
+    key = random_key(9000, 4)
+    assert redacted("key: " + key + " end") == "key: " + "*" * 9000 + " end"
+
+
 def test_packing(spark, sf_dir, docs, library):
     got = packing.op8_packing(spark, sf_dir).collect()
     want = {}
