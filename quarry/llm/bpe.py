@@ -25,11 +25,11 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm.common import documents
+from quarry.llm.common import documents, slices
 
 VOCABULARY = "word_bpe_49k.json"
-#: Characters of text that are encoded together, and chunks that a worker remembers.
-BATCH_CHARS, CACHED_CHUNKS = 16_000_000, 900_000
+#: Bytes of text that are encoded together, and chunks that a worker remembers.
+BATCH_BYTES, CACHED_CHUNKS = 6_000_000, 600_000
 
 _TABLE_BITS = 20
 _CONTROL = re.compile(r"[\x1c-\x1f]")
@@ -271,14 +271,16 @@ class Encoder:
         self._learn_plain([c for c in new if "<|" not in c])
         self._learn_odd(special)
         ids = [self._ids[c] for c in chunks]  # an empty chunk, at the ends of texts, has none
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) >> 2
         held = np.frombuffer(b"".join(ids), "<u4")
-        start = np.cumsum(size) - size
+        start = np.cumsum(size, dtype=np.int32) - size
         at = coded.indices.to_numpy()
         n = size[at]
-        ends = np.concatenate(([0], np.cumsum(n)))
-        out = held[np.repeat(start[at] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
-        bounds = (4 * ends[cut.offsets.to_numpy()]).tolist()
+        ends = np.concatenate((np.zeros(1, np.int32), np.cumsum(n, dtype=np.int32)))
+        place = np.repeat(start[at] - ends[:-1], n)
+        place += np.arange(len(place), dtype=np.int32)
+        out = held[place].tobytes()
+        bounds = (4 * ends[cut.offsets.to_numpy()].astype(np.int64)).tolist()
         return [out[i:j] for i, j in zip(bounds, bounds[1:])]
 
     def decode(self, ids: bytes) -> str:
@@ -298,16 +300,10 @@ def encoder(path: str | None = None) -> Encoder:
 
 
 def encoded_batches(batches: Iterator[pa.RecordBatch], path: str | None, text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of batches of about BATCH_CHARS characters, with the ids of their rows."""
+    """Slices of batches of about BATCH_BYTES, with the ids of their rows."""
     e = encoder(path)
-    for batch in batches:
-        texts = [t or "" for t in batch.column(text).to_pylist()]
-        at = size = 0
-        for k, t in enumerate(texts, 1):
-            size += len(t)
-            if size >= BATCH_CHARS or k == len(texts):
-                yield batch.slice(at, k - at), e.encode(texts[at:k])
-                at, size = k, 0
+    for rows in slices(batches, text, BATCH_BYTES):
+        yield rows, e.encode([t or "" for t in rows.column(text).to_pylist()])
 
 
 def encode(docs: DataFrame, path: str | None = None, decode: bool = False) -> DataFrame:
@@ -332,16 +328,12 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         decimal = list(map(str, range(len(tokens))))
         sha = lambda parts: hashlib.sha256(" ".join(parts).encode()).hexdigest()
         for rows, ids in encoded_batches(batches, path):
-            lists = [np.frombuffer(b, "<u4").tolist() for b in ids]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    rows.column("doc_id"),
-                    pa.array(list(map(len, lists)), pa.int64()),
-                    pa.array([sha(map(decimal.__getitem__, x)) for x in lists], pa.string()),
-                    pa.array([sha(map(tokens.__getitem__, x)) for x in lists], pa.string()),
-                ],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            out = []
+            for b in ids:
+                x = np.frombuffer(b, "<u4").tolist()
+                out.append((len(x), sha(map(decimal.__getitem__, x)), sha(map(tokens.__getitem__, x))))
+            columns = zip(*out) if out else [[]] * 3
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string())))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
