@@ -12,8 +12,10 @@ is never a component's id while the component has another.
 
 The pipeline's stage does not link by bits: texts whose sets of 5-word shingles have a Jaccard of 0.8 or more mostly
 differ in more than 2. near_copies() links exactly these. In any order of all shingles two such sets share one of their
-first n - ceil(0.8 n) + 1, so each set is sent once for each of these; pairs that meet and are of like size are checked
-on the whole sets. Shingles that are frequent in a sample of texts come last in the order; this saves pairs, and changes
+first n - ceil(0.8 n) + 1, so each set is sent once for each of these. Those that meet are linked over a few of them
+first, and only what is then still apart is compared in full (copy_roots); a sketch of parities, whose popcount of
+differences is a lower bound as the segments' is, rules most pairs out in the join, and the rest is checked on the whole
+sets. Shingles that are frequent in a sample of texts come last in the order; this saves pairs, and changes
 none of the links. Equal sets are folded before. Texts without words have equal, empty sets.
 """
 
@@ -24,9 +26,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quarry.llm.common import documents, materialize
+from quarry.llm.common import documents, materialize, slices
 from quarry.llm.graph import components
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
@@ -36,6 +38,8 @@ _BLOCK = 1 << 16
 STAGE_SHINGLE, ALIKE, OF = 5, 4, 5
 #: Texts read for frequent shingles; from how many of them a shingle is frequent; most that are broadcast.
 _SAMPLE, _FREQUENT, _MOST = 50_000, 3, 250_000
+#: Sets that those at a shingle are compared with in a round, and rounds before all that is left is compared.
+HUBS, ROUNDS = 3, 2
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> bytes:
@@ -56,7 +60,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, h (hash of the whole text), fp long of each row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fp = b"".join(fingerprint(t, shingle) for t in batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(np.frombuffer(fp, ">i8").astype(np.int64))], ["doc_id", "h", "fp"])
 
@@ -102,7 +106,7 @@ def frequent_shingles(docs: DataFrame) -> list[int]:
     share = max(1, docs.count() // _SAMPLE)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             held = [shingles(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *held]))], ["g"])
 
@@ -111,15 +115,23 @@ def frequent_shingles(docs: DataFrame) -> list[int]:
     return [r["g"] for r in often.orderBy(F.col("n").desc(), "g").limit(_MOST).collect()]
 
 
-def copy_links(sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """a < b: fp of distinct sets that are alike. sets: fp, n, first (shingles that alike sets have one of in common), h of a text."""
-    sent = sets.select(F.explode("first").alias("g"), "fp", "n")
-    a, b = sent.alias("a"), sent.alias("b")
-    like = F.least("a.n", "b.n") * OF >= F.greatest("a.n", "b.n") * ALIKE
-    met = materialize(a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.fp") < F.col("b.fp")) & like).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct(), "met")
+def sketch(g: np.ndarray) -> list[int]:
+    """Parities of the shingles in each of 512 classes, as 8 longs: two sets differ in at least as many shingles as their sketches in bits."""
+    return np.packbits((np.bincount(g & 511, minlength=512) & 1).astype(np.uint8)).view(np.int64).tolist()
+
+
+def _may_be_alike(a: str, b: str) -> Column:
+    """Whether sizes and sketches (columns n, bits of a and b) leave room for a Jaccard of ALIKE / OF: sets that reach it differ in (OF - ALIKE) / (OF + ALIKE) of both sizes at most."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    differ = sum((F.bit_count(F.col(f"{a}.bits")[k].bitwiseXOR(F.col(f"{b}.bits")[k])) for k in range(8)), F.lit(0))
+    return (F.least(n, m) * OF >= F.greatest(n, m) * ALIKE) & (differ * (OF + ALIKE) <= (n + m) * (OF - ALIKE))
+
+
+def _verified(met: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of the pairs met (a, b: fp), those whose whole sets are alike."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             held = [shingles(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(held, pa.list_(pa.int64()))], ["fp", "held"])
 
@@ -128,7 +140,45 @@ def copy_links(sets: DataFrame, docs: DataFrame) -> DataFrame:
     whole = materialize(texts.select("fp", "text").mapInArrow(work, "fp long, held array<long>"), "sets")
     left, right = (whole.select(F.col("fp").alias(c), F.col("held").alias(f"held_{c}")) for c in "ab")
     common, both = F.size(F.array_intersect("held_a", "held_b")), F.size("held_a") + F.size("held_b")
-    return met.join(left, "a").join(right, "b").where(common * (ALIKE + OF) >= both * ALIKE).select("a", "b")
+    return materialize(met.join(left, "a").join(right, "b").where(common * (ALIKE + OF) >= both * ALIKE).select("a", "b"), "links")
+
+
+def copy_roots(sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """v, root of the components of sets that are alike. sets: fp, n, first (shingles that alike sets have one of in common), bits, h of a text.
+
+    Sets meet at a shared shingle, but not all pairs of them: in each round the sets at a shingle are compared with HUBS
+    drawn from them, unless they are in one component already. What is left, pairs in different components of which one
+    is outside the shingle's largest, is then compared in full. So a group of copies costs a few comparisons a member,
+    and no link that would join two components is lost.
+    """
+    sent = sets.select(F.explode("first").alias("g"), "fp")
+    often = sent.groupBy("g").agg(F.count("*").alias("_c")).where("_c > 1").select("g")
+    groups = materialize(sent.join(often, "g").join(sets.select("fp", "n", "bits"), "fp").select("g", "fp", "n", "bits"), "groups")
+    links, roots = None, None
+
+    def labelled() -> DataFrame:
+        if roots is None:
+            return groups.withColumn("label", F.col("fp"))
+        return groups.join(roots.withColumnRenamed("v", "fp"), "fp", "left").select(*groups.columns, F.coalesce("root", "fp").alias("label"))
+
+    def joined(met: DataFrame) -> None:
+        nonlocal links, roots
+        found = _verified(materialize(met.select(F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b")).distinct(), "met"), sets, docs)
+        links = found if links is None else links.union(found)
+        roots = components(links)
+
+    for turn in range(ROUNDS):
+        now = materialize(labelled(), "labelled")
+        drawn = [F.min_by(F.struct("fp", "n", "bits", "label"), F.xxhash64("fp", F.lit(turn * HUBS + k))) for k in range(HUBS)]
+        hubs = now.groupBy("g").agg(F.array(*drawn).alias("hubs"), F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high").select("g", "hubs")
+        a = now.join(hubs, "g").select(F.struct("fp", "n", "bits", "label").alias("a"), F.explode("hubs").alias("b"))
+        joined(a.where((F.col("a.label") != F.col("b.label")) & _may_be_alike("a", "b")))
+    now = materialize(labelled(), "labelled")
+    largest = now.groupBy("g", "label").agg(F.count("*").alias("c")).groupBy("g").agg(F.max_by("label", "c").alias("main"), F.count("*").alias("c")).where("c > 1").select("g", "main")
+    apart = materialize(now.join(largest, "g"), "apart")
+    a, b = apart.alias("a"), apart.where("label <> main").alias("b")
+    joined(a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.label") != F.col("b.label")) & _may_be_alike("a", "b")))
+    return roots
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -139,7 +189,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = np.argsort(last.value, kind="stable")
         known = last.value[by]
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text in batch.column("text").to_pylist():
                 g = shingles(text)
@@ -149,13 +199,14 @@ def near_copies(docs: DataFrame) -> DataFrame:
                     at = np.minimum(np.searchsorted(known, g), len(known) - 1)
                     place = np.where(known[at] == g, len(known) - by[at], 0)
                 first = g[np.lexsort((g, place))[: n + (-n * ALIKE) // OF + 1]]
-                out.append((xxhash.xxh64_intdigest(g.tobytes()) - (1 << 63), n, first))
-            columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 3, (pa.int64(), pa.int32(), pa.list_(pa.int64())))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), *columns], ["doc_id", "h", "fp", "n", "first"])
-
-    rows = materialize(docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(work, f"doc_id {kind}, h long, fp long, n int, first array<long>"), "shingles")
-    sets = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("h").alias("h")), "distinct")
-    roots = components(copy_links(sets, docs))
+                out.append((xxhash.xxh64_intdigest(g.tobytes()) - (1 << 63), n, first, sketch(g)))
+            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), *columns], ["doc_id", "h", "fp", "n", "first", "bits"])
+
+    rows = materialize(docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(work, f"doc_id {kind}, h long, fp long, n int, first array<long>, bits array<long>"), "shingles")
+    sets = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "first", "bits", "h")]), "distinct")
+    roots = copy_roots(sets, docs)
     rooted = sets.select("fp", "least").join(roots.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.select("doc_id", "h", "fp").join(rooted.join(ids, "root").select("fp", "component_id"), "fp")
