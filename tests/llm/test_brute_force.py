@@ -3,6 +3,7 @@
 import bisect
 import collections
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -150,23 +151,27 @@ def test_components(spark):
 
 
 def test_runs_and_loser_tree(monkeypatch):
-    rng = random.Random(1)
-    for _ in range(100):
-        monkeypatch.setattr(runs, "RUN_BYTES", rng.choice([500, 5000, 10**6]))
-        entries = [(bytes(rng.choice(b"ab") for _ in range(rng.randrange(12))), 0, k, 0) for k in range(rng.randrange(200))]
-        cuts = sorted({bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 6))) for _ in range(rng.randrange(4))})
-        told, blocks, out = set(), collections.defaultdict(list), []
-        for part, block in runs.sorted_runs(iter(entries), cuts, lambda e, o, n: told.add(e[2])):
+    monkeypatch.setattr(runs, "RUN_BYTES", 3000)
+    monkeypatch.setattr(runs, "CHUNK", 7)
+    rng = random.Random(3)
+    for n, letters in ((400, b"ab"), (300, bytes(range(255))), (1, b"a")):
+        keys = [bytes(rng.choice(letters) for _ in range(9)) for _ in range(n)]
+        cuts = sorted({rng.choice(keys) for _ in range(4)})
+        told, blocks, out = [], collections.defaultdict(list), []
+        pieces = [(runs.matrix_of(keys[i : i + 50]), np.arange(i, min(i + 50, n)), np.arange(i, min(i + 50, n)) * 2) for i in range(0, n, 50)]
+        for part, block in runs.sorted_runs(iter(pieces), cuts, lambda m, r, p: told.extend(zip(runs.keys_of(m), r.tolist()))):
             blocks[part].append(block)
         for part in sorted(blocks):
             before = None
-            for n, e in runs.merge(blocks[part]):
-                assert before is None or n == runs.shared(before, e[0])
-                assert bisect.bisect_right(cuts, e[0]) == part
-                before = e[0]
-                out.append(e)
-        assert [e[0] for e in out] == sorted(e[0] for e in out) and {e[0] for e in out} == {e[0] for e in entries}
-        assert {e[2] for e in out if e[2] >= 0} | told == {e[2] for e in entries} and not {e[2] for e in out} & told
+            for got, shared, rows, pos in runs.merge([runs.Run(b) for b in blocks[part]]):
+                for key, k, row, at in zip(got, shared, rows.tolist(), pos.tolist()):
+                    assert k == (0 if before is None else len(os.path.commonprefix([before, key])))
+                    assert bisect.bisect_right(cuts, key) == part and (row < 0 or (keys[row] == key and at == 2 * row))
+                    before = key
+                    out.append((key, row))
+        assert [k for k, _ in out] == sorted(k for k, _ in out) and {k for k, _ in out} == set(keys)
+        assert all(keys[r] == k for k, r in told)
+        assert {r for _, r in out if r >= 0} | {r for _, r in told} == set(range(n)) and not {r for _, r in out} & {r for _, r in told}
 
 
 def removed(texts, span=400):
@@ -185,14 +190,24 @@ def removed(texts, span=400):
     return out
 
 
+def passages(texts):
+    """(n_passages, n_passage_words) of each text."""
+    runs_of = lambda gone: sum(k - 1 not in gone for k in gone)
+    return [(runs_of(gone), len(gone)) for gone in words_removed(texts)]
+
+
 def by_query(spark, tmp_path, rows):
+    """The contract's columns; what follows them is held against brute force here."""
     frame(spark, rows, False).write.parquet(str(tmp_path / "documents.parquet"))
-    return [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in by_id(suffix.op2_suffix_dedup(spark, str(tmp_path)))]
+    got = by_id(suffix.op2_suffix_dedup(spark, str(tmp_path)))
+    assert [(r["n_passages"], r["n_passage_words"]) for r in got] == passages([t or "" for _, t in rows])
+    return [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got]
 
 
 def test_suffix_dedup(spark, sf_dir, docs):
     got = by_id(suffix.op2_suffix_dedup(spark, sf_dir))
     assert [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got] == removed([t for _, t in docs])
+    assert [(r["n_passages"], r["n_passage_words"]) for r in got] == passages([t for _, t in docs])
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -230,9 +245,31 @@ def test_suffix_dedup_of_hot_passages(spark, tmp_path):
     assert by_query(spark, tmp_path, list(enumerate(texts))) == removed(texts)
 
 
+@pytest.mark.parametrize("thinned", [True, False])
+def test_suffix_dedup_of_periodic_texts(spark, tmp_path, monkeypatch, thinned):
+    """Texts of one letter or a short period, alone and within others, with the same strings once in short texts."""
+    if not thinned:
+        monkeypatch.setattr(suffix, "_thinned", lambda unit, x, ends, text, pos, gram: (np.ones(len(pos), bool), []))
+    rng = random.Random(4)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    units = ["a", "ab", "abc ", "word ", noise(37), noise(199), noise(201)]
+    texts = [noise(100) + u * (n // len(u)) + u[: n % len(u)] + noise(90) for u in units for n in (395, 400, 401, 402, 700, 3000)]
+    texts += [u * (400 // len(u)) + u[: 400 % len(u)] for u in units] + ["z" * 400 + "q", "z" * 401 + "y", "w " * 51, "v " * 52, "u t " * 300, "t u " * 26]
+    assert by_query(spark, tmp_path, list(enumerate(texts))) == removed(texts)
+
+
+def test_suffix_dedup_of_a_long_text_of_one_letter(spark, tmp_path):
+    n = 5_000_000
+    frame(spark, [(1, "a" * n), (2, "b " * (n // 2)), (3, "a" * 400), (4, "b " * 51)], False).write.parquet(str(tmp_path / "documents.parquet"))
+    got = [(r["n_removed"], r["n_spans"], r["n_passage_words"]) for r in by_id(suffix.op2_suffix_dedup(spark, str(tmp_path)))]
+    assert got == [(n, 1, 0), (n, 1, n // 2), (400, 1, 0), (0, 0, 51)]
+    held = suffix.Repeats(spark.read.parquet(str(tmp_path / "documents.parquet"))).held
+    assert all(len(r["at"]) < 2000 for r in held.select("at").collect())
+
+
 def words_removed(texts, least=51):
     """Words of each text that lie in a run of `least` words which also starts elsewhere."""
-    split = [t.split() for t in texts]
+    split = [t.encode().split() for t in texts]
     starts = collections.Counter(tuple(w[i : i + least]) for w in split for i in range(len(w) - least + 1))
     return [{k for i in range(len(w) - least + 1) if starts[tuple(w[i : i + least])] > 1 for k in range(i, i + least)} for w in split]
 
@@ -255,14 +292,36 @@ def test_suffix_stage_cuts_passages_of_more_than_50_words(spark):
     assert got == {k: [w for i, w in enumerate(t.split()) if i not in gone[k]] for k, t in rows}
 
 
-def test_anchors_are_where_the_text_says():
+def at_anchors(unit, *texts):
+    """{(position, gram)} of each text."""
+    x, _, ends = unit.symbols(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    text, pos, gram = suffix.anchors(unit, x, ends)
+    return [{(p, g) for t, p, g in zip(text.tolist(), pos.tolist(), gram.tolist()) if t == k} for k in range(len(texts))]
+
+
+@pytest.mark.parametrize("unit", [suffix.BYTES, suffix.PASSAGES])
+def test_anchors_are_where_the_text_says(unit, monkeypatch):
     rng = random.Random(2)
-    a = bytes(rng.choice(b"abcd") for _ in range(5000))
-    at, grams = suffix.anchors(a)
-    shifted, other = suffix.anchors(b"xyz" * 50 + a[1000:])
-    inside = {(p - 150 + 1000, g) for p, g in zip(shifted.tolist(), other.tolist()) if p >= 150 + suffix.WINDOW}
-    assert inside and inside <= set(zip(at.tolist(), grams.tolist()))
-    assert max(np.diff(at)) <= suffix.WINDOW and suffix.anchors(b"a" * 399)[0].size == 0
+    a = bytes(rng.choice(b"abcd ") for _ in range(9000))
+    other, short = b"xyz " * 150, b"a " * 25
+    alone, shifted, none = at_anchors(unit, a, other + a, short)
+    ahead = 600 if unit is suffix.BYTES else 150
+    assert alone and alone == {(p - ahead, g) for p, g in shifted if p >= ahead + unit.window} | {x for x in alone if x[0] < unit.window} and not none
+    assert max(np.diff(sorted(p for p, _ in alone))) <= unit.window
+    monkeypatch.setattr(suffix, "_STARTS", 100)
+    assert at_anchors(unit, a, other + a, short) == [alone, shifted, none]
+
+
+def test_words_are_those_of_the_text():
+    texts = ["", " a\tbb\n", "x" * 200 + " y" + "z" * 64, "ends here", "starts \x0b\x0c\r é ü"]
+    raw = [t.encode() for t in texts]
+    data, ends = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    first, last = suffix.words_of(data, ends)
+    assert [data[i:j].tobytes() for i, j in zip(first, last)] == [w for r in raw for w in r.split()]
+    _, codes, counts = suffix.PASSAGES.symbols(data, ends)
+    assert np.diff(counts).tolist() == [len(r.split()) for r in raw] and len(codes) == 5 * counts[-1] and codes.max() < 255
+    again = suffix.PASSAGES.symbols(np.frombuffer(b"here y" + b"z" * 64, np.uint8), np.array([0, 70]))[1]
+    assert again[:5].tolist() == codes[-25:-20].tolist() or again[:5].tolist() in codes.reshape(-1, 5).tolist()
 
 
 def test_imatch(spark, sf_dir, docs):
