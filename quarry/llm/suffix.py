@@ -45,6 +45,8 @@ SPAN, GRAM = 400, 200
 WORDS, WORD_GRAM, CODE = 51, 26, 5
 #: Bytes of text that a task takes up at once, entries that become keys at once, starts that are hashed at once.
 _TEXT, _KEYS, _STARTS = 2_000_000, 4096, 1 << 15
+#: Strings asked for that go to a place in one row.
+_CHUNK = 1024
 _BASE = 0x9E3779B97F4A7C15
 _WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _DIGEST = 16
@@ -485,29 +487,54 @@ class Repeats:
         units = self.units
         matches = self._matches().groupBy("row").agg(F.collect_list(F.struct("pos", "right", "left", "side")).alias("m"))
         flat = self.candidates.join(matches, "row", "left").select("row", "at", "gram", *[F.coalesce(F.col(f"m.{c}"), F.array().cast("array<long>")).cast("array<long>").alias(c) for c in ("pos", "right", "left", "side")])
-        judged = materialize(flat.mapInArrow(_judge, "row long, unit int, start array<long>, end array<long>, asked_gram array<long>, asked_offset array<long>"), "judged")
-        asked = judged.select("unit", F.explode(F.arrays_zip("asked_gram", "asked_offset")).alias("x")).select(F.col("x.asked_gram").alias("gram"), F.col("x.asked_offset").alias("offset")).distinct()
-        asked = materialize(asked.groupBy("gram").agg(F.collect_set("offset").alias("offsets")), "asked")  # offsets: a window of them at most
+        judged = materialize(flat.mapInArrow(_judge, "row long, unit int, start array<long>, end array<long>, asked array<long>, gram array<long>, offset array<long>"), "judged")
         found = judged.select("row", "unit", F.explode(F.arrays_zip("start", "end")).alias("s")).select("row", "unit", "s.start", "s.end")
         sure = self.texts.where(F.size("proven") > 0).select("row", F.posexplode("proven").alias("k", "v")).groupBy("row", (F.col("k") / 3).cast("int").alias("i")).agg(*[F.max(F.when(F.col("k") % 3 == j, F.col("v"))).alias(c) for j, c in enumerate(("unit", "start", "end"))])
         found = found.union(sure.select("row", F.col("unit").cast("int"), "start", "end"))
-        if not asked.isEmpty():
-            places = self.candidates.select("row", F.explode(F.arrays_zip("at", "gram")).alias("x")).select("row", F.col("x.at").alias("at"), F.col("x.gram").alias("gram")).join(asked, "gram")
-            before = places.select("row", F.shiftright("at", 1).bitwiseAND(1).alias("unit"), F.shiftright("at", 2).alias("pos"), F.explode("offsets").alias("offset")).where("pos >= offset")
-            starts = before.groupBy("row").agg(F.collect_set((F.col("pos") - F.col("offset")) * 4 + F.col("unit") * 2).alias("at"))
-            source = self.held.select("row", "text").join(starts, "row").select("row", "text", "at")
-
-            def entries(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-                for part in slices(iter([batch]), "text", _TEXT):
-                    yield from _strings(units, part)
-
-            single = _sort_matches(source, entries, _even([unit.letters[2:] for unit in units], self.parts), "strings")
+        if not judged.where(F.size("asked") > 0).isEmpty():
             number = (F.col("side") / 3).cast("int")
             span = F.element_at(F.array(*[F.lit(u.span) for u in _UNITS]), number + 1)
-            found = found.union(single.select("row", number.alias("unit"), F.col("pos").alias("start"), (F.col("pos") + span).alias("end")))
+            found = found.union(self._asked(judged).select("row", number.alias("unit"), F.col("pos").alias("start"), (F.col("pos") + span).alias("end")))
         spans = found.groupBy("row").agg(F.collect_list(F.struct("unit", "start", "end")).alias("s"))
         return materialize(spans.select("row", F.col("s.unit").cast("array<long>").alias("unit"), F.col("s.start").alias("start"), F.col("s.end").alias("end")), "spans")
 
+    def _asked(self, judged: DataFrame) -> DataFrame:
+        """Matches of whole strings that judged asks for (asked: 4 * start + 2 * unit, with a gram and how far before it they start).
+
+        The strings asked for are few. Their digests go to all places of their grams, at most a chunk of them in a row,
+        and of the strings there only those with such a digest are sorted.
+        """
+        units = self.units
+        wanted = judged.where(F.size("asked") > 0).groupBy("row").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("asked", "gram", "offset")])
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(iter([batch]), "text", _TEXT):
+                    gram, offset = (_lists(part.column(c))[0] for c in ("gram", "offset"))
+                    for matrix, _, _, at in _strings(units, part):
+                        yield pa.RecordBatch.from_arrays([pa.array(gram[at]), pa.array(offset[at]), pa.array(_short(matrix))], ["gram", "offset", "digest"])
+
+        told = self.held.select("row", "text").join(wanted, "row").select("text", F.col("row"), F.col("asked").alias("at"), "gram", "offset")
+        strings = materialize(told.mapInArrow(work, "gram long, offset long, digest long").distinct(), "asked")
+        chunks = strings.groupBy("gram").agg(F.ceil(F.count("*") / _CHUNK).alias("n"))
+        chunked = strings.join(chunks, "gram").groupBy("gram", F.pmod("digest", "n")).agg(F.collect_list(F.struct("offset", "digest")).alias("x")).select("gram", "x")
+        places = self.candidates.select("row", F.explode(F.arrays_zip("at", "gram")).alias("p")).select("row", F.col("p.at").alias("at"), F.col("p.gram").alias("gram")).join(chunked, "gram")
+        start = lambda x: F.shiftright("at", 2) - x["offset"]
+        there = F.transform(F.filter("x", lambda x: start(x) >= 0), lambda x: F.struct((start(x) * 4 + F.col("at").bitwiseAND(2)).alias("at"), x["digest"].alias("digest")))
+        asked = places.select("row", there.alias("x")).groupBy("row").agg(F.flatten(F.collect_list("x")).alias("x"))
+        source = self.held.select("row", "text").join(asked, "row").select("row", "text", F.col("x.at").alias("at"), F.col("x.digest").alias("digest"))
+
+        def entries(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            for part in slices(iter([batch]), "text", _TEXT):
+                digest = _lists(part.column("digest"))[0]
+                for matrix, rows, pos, at in _strings(units, part):
+                    same = np.flatnonzero(_short(matrix) == digest[at])
+                    _, first = np.unique(np.stack((rows[same], pos[same])), axis=1, return_index=True)
+                    if len(first):
+                        yield matrix[same[first]], rows[same[first]], pos[same[first]]
+
+        return _sort_matches(source, entries, _even([unit.letters[2:] for unit in units], self.parts), "strings")
+
     def cut(self) -> DataFrame:
         """row, sha, starts, ends, word_starts, word_ends: the runs of bytes and of words that repeat in each text that has any, ordered and apart; null where there are none."""
         lists = "starts array<long>, ends array<long>, word_starts array<long>, word_ends array<long>"
@@ -551,17 +578,23 @@ def _pieces(units: tuple[Unit, ...], batch: pa.RecordBatch, drawn=None) -> Itera
                 yield left, rows[text[k]][many], at[k][many] >> 2
 
 
-def _strings(units: tuple[Unit, ...], batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _strings(units: tuple[Unit, ...], batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys, rows, positions, numbers in column at) of the whole strings that start at these places, _KEYS at a time."""
     rows = batch.column("row").to_numpy()
-    for unit, buf, starts, counts, text, at, _ in _places(units, batch):
+    for unit, buf, starts, counts, text, at, mine in _places(units, batch):
         pos = at >> 2
         inside = pos <= counts[text] - unit.span
-        text, pos = text[inside], pos[inside]
-        matrix = np.empty((len(pos), _HEAD), np.uint8)
-        matrix[:, 0] = unit.letters[2]
-        if len(pos):
-            matrix[:, 1:] = _digests(buf.tobytes(), starts[text] + pos * unit.width, unit.span * unit.width)
-            yield matrix, rows[text], pos
+        text, pos, mine, raw = text[inside], pos[inside], mine[inside], buf.tobytes()
+        for i in range(0, len(pos), _KEYS):
+            k = slice(i, i + _KEYS)
+            matrix = np.empty((len(pos[k]), _HEAD), np.uint8)
+            matrix[:, 0], matrix[:, 1:] = unit.letters[2], _digests(raw, starts[text[k]] + pos[k] * unit.width, unit.span * unit.width)
+            yield matrix, rows[text[k]], pos[k], mine[k]
+
+
+def _short(matrix: np.ndarray) -> np.ndarray:
+    """The first 64 bits of the digests of whole strings."""
+    return np.ascontiguousarray(matrix[:, 1:9]).view(np.int64).reshape(-1)
 
 
 def _joined(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -590,7 +623,7 @@ def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From the matches of a text's anchors: intervals that repeat, and strings (as gram and offset before it) that may."""
-    names, kinds = ["row", "unit", "start", "end", "asked_gram", "asked_offset"], (pa.int64(), pa.int32(), *4 * [pa.list_(pa.int64())])
+    names, kinds = ["row", "unit", "start", "end", "asked", "gram", "offset"], (pa.int64(), pa.int32(), *5 * [pa.list_(pa.int64())])
     for batch in batches:
         (at, stops), (pos, m_stops) = _lists(batch.column("at")), _lists(batch.column("pos"))
         gram, right, left, side = (_lists(batch.column(c))[0] for c in ("gram", "right", "left", "side"))
@@ -601,19 +634,19 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(mine) and len(m):
                     got = _judged(unit, at[mine], gram[mine], pos[m], right[m], left[m], side[m] % 3)
                     if len(got[0]) or len(got[2]):
-                        out.append((row, k, *got))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 6, kinds)], names)
+                        out.append((row, k, *got[:2], 4 * got[2] + 2 * k, *got[3:]))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 7, kinds)], names)
 
 
-def _judged(unit: Unit, at, gram, pos, right, left, side) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """starts, ends, grams and offsets of strings that may repeat. Where a gram occurs twice, its one match is all there is."""
+def _judged(unit: Unit, at, gram, pos, right, left, side) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """starts, ends; starts of strings that may repeat besides, a gram in each, how far before it they start. Where a gram occurs twice, its one match is all there is."""
     span, short = unit.span, unit.need
     good = right + left >= span
     starts, ends = _joined((pos - left)[good], (pos + right)[good])
     none = np.zeros(0, np.int64)
     many = (at & 1).astype(bool)
     if not many.any():
-        return starts, ends, none, none
+        return starts, ends, none, none, none
     order = np.argsort(at >> 2)
     places, gram, many = (at >> 2)[order], gram[order], many[order]
     most_right, most_left = np.full(len(places), unit.gram), np.zeros(len(places), np.int64)
@@ -629,7 +662,7 @@ def _judged(unit: Unit, at, gram, pos, right, left, side) -> tuple[np.ndarray, n
         inside = np.searchsorted(starts, hull, "right") - 1
         hull = hull[(inside < 0) | (hull + span > ends[inside])]
     if not len(hull):
-        return starts, ends, none, none
+        return starts, ends, none, none, none
     rank = gram.view(np.uint64)
     best, stop = np.searchsorted(places, hull), np.searchsorted(places, hull + short, "right")
     k = best + 1
@@ -638,7 +671,7 @@ def _judged(unit: Unit, at, gram, pos, right, left, side) -> tuple[np.ndarray, n
         best = np.where((k < stop) & (rank[more] < rank[best]), more, best)
         k = k + 1
     passed = (low[best] <= hull) & (high[best] >= hull)
-    return starts, ends, gram[best[passed]], (places[best] - hull)[passed]
+    return starts, ends, hull[passed], gram[best[passed]], (places[best] - hull)[passed]
 
 
 def keep(raw: bytes, starts: list[int], ends: list[int]) -> bytes:
