@@ -146,13 +146,14 @@ def _verified(met: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
 def copy_roots(sets: DataFrame, docs: DataFrame) -> DataFrame:
     """v, root of the components of sets that are alike. sets: fp, n, first (shingles that alike sets have one of in common), bits, h of a text.
 
-    Sets meet at a shared shingle, but not all pairs of them: in each round the sets at a shingle are compared with HUBS
+    Sets meet at a shared shingle (one for all shingles that the same sets share), but not all pairs of them: in each round the sets at a shingle are compared with HUBS
     drawn from them, unless they are in one component already. What is left, pairs in different components of which one
     is outside the shingle's largest, is then compared in full. So a group of copies costs a few comparisons a member,
     and no link that would join two components is lost.
     """
     sent = sets.select(F.explode("first").alias("g"), "fp")
-    often = sent.groupBy("g").agg(F.count("*").alias("_c")).where("_c > 1").select("g")
+    members = sent.groupBy("g").agg(F.count("*").alias("_c"), F.bit_xor(F.xxhash64("fp")).alias("_x")).where("_c > 1")
+    often = members.groupBy("_c", "_x").agg(F.min("g").alias("g")).select("g")
     groups = materialize(sent.join(often, "g").join(sets.select("fp", "n", "bits"), "fp").select("g", "fp", "n", "bits"), "groups")
     links, roots = None, None
 
