@@ -2,9 +2,10 @@
 
 A fingerprint is embedded as the bit counts of its 16 segments of 4 bits. Counts of two fingerprints differ, summed
 over segments, by no more than the fingerprints do in bits; so links at 2 bits lie within Manhattan distance 2 on the
-grid of counts. Each distinct fingerprint goes to its own cell and to the 32 cells one step away: two of distance at
-most 2 always share one of these. Fingerprints that meet in a cell are compared exactly inside the join, so only true
-links come out. Copies are folded into their fingerprint before, and links become components over fingerprints.
+grid of counts. They also agree in one of three blocks of segments, and differ outside it alone. So for each block a
+distinct fingerprint goes to its own cell on the grid of the other segments' counts, and to those one step away, each
+together with the block's bits: two of distance at most 2 always share one of these, and a cell that many fingerprints
+have is dealt out by the bits. Fingerprints that meet are compared exactly inside the join, so only true links come out. Copies are folded into their fingerprint before, and links become components over fingerprints.
 
 Null texts are empty. A text without words has fingerprint zero, which links like any other; fewer than 3 words make
 one shingle. Repeated rows share a component. Extra columns are not read. An empty table gives no rows. A null doc_id
@@ -33,6 +34,8 @@ from quarry.llm.graph import components
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
 _SEGMENTS, _WIDTH = 16, 4
+#: Segments from and to of three blocks, one of which two bits leave alone.
+_BLOCKS = ((0, 5), (5, 10), (10, 16))
 _BLOCK = 1 << 16
 #: The stage's shingles, and its least Jaccard as a fraction.
 STAGE_SHINGLE, ALIKE, OF = 5, 4, 5
@@ -72,11 +75,18 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """a < b: distinct fingerprints (column fp) that differ in at most max_bits <= 2 bits. A pair may come out more than once."""
     if max_bits > 2:
         raise ValueError("cells one step apart meet only up to 2 bits")
-    step = [1 << (3 * k) for k in range(_SEGMENTS)]
-    cell = F.lit(0).cast("long")
-    for k in range(_SEGMENTS):  # a count, from 1 so that a step down stays positive, in 3 bits
-        cell = cell + F.shiftleft((F.bit_count(F.shiftrightunsigned("fp", _WIDTH * k).bitwiseAND((1 << _WIDTH) - 1)) + 1).cast("long"), 3 * k)
-    cells = distinct.select("fp", cell.alias("c")).select("fp", F.explode(F.array(F.col("c"), *[F.col("c") + s for s in step], *[F.col("c") - s for s in step])).alias("c"))
+    cells, keys = [], []
+    for k, (first, last) in enumerate(_BLOCKS):
+        block = F.shiftrightunsigned("fp", _WIDTH * first).bitwiseAND((1 << _WIDTH * (last - first)) - 1)
+        outside = [j for j in range(_SEGMENTS) if not first <= j < last]
+        cell = F.lit(k).cast("long")
+        for j in outside:  # a count, from 1 so that a step down stays positive, in 3 bits
+            cell = F.shiftleft(cell, 3) + (F.bit_count(F.shiftrightunsigned("fp", _WIDTH * j).bitwiseAND((1 << _WIDTH) - 1)) + 1).cast("long")
+        cells.append((F.shiftleft(cell, _WIDTH * (last - first)) + block).alias(f"c{k}"))
+        cell = F.col(f"c{k}")
+        steps = [1 << (3 * j + _WIDTH * (last - first)) for j in range(len(outside))]
+        keys += [cell, *[cell + x for x in steps], *[cell - x for x in steps]]
+    cells = distinct.select("fp", *cells).select("fp", F.explode(F.array(*keys)).alias("c"))
     a, b = cells.alias("a"), cells.alias("b")
     close = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_bits
     return a.join(b, (F.col("a.c") == F.col("b.c")) & (F.col("a.fp") < F.col("b.fp")) & close).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
