@@ -40,7 +40,9 @@ _BLOCK = 1 << 16
 #: The stage's shingles, and its least Jaccard as a fraction.
 STAGE_SHINGLE, ALIKE, OF = 5, 4, 5
 #: Texts read for frequent shingles; from how many of them a shingle is frequent; most that are broadcast.
-_SAMPLE, _FREQUENT, _MOST = 50_000, 3, 250_000
+_SAMPLE, _FREQUENT, _MOST = 10_000, 3, 250_000
+#: Rows of two longs that are broadcast at most.
+_ASKED = 200_000
 #: Sets that those at a shingle are compared with in a round, and rounds before all that is left is compared.
 HUBS, ROUNDS = 3, 2
 
@@ -145,7 +147,8 @@ def _verified(met: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
             held = [shingles(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(held, pa.list_(pa.int64()))], ["fp", "held"])
 
-    asked = met.select("a").union(met.select("b")).distinct().withColumnRenamed("a", "fp").join(sets.select("fp", "h"), "fp")
+    asked = materialize(met.select("a").union(met.select("b")).distinct().withColumnRenamed("a", "fp").join(sets.select("fp", "h"), "fp"), "asked")
+    asked = F.broadcast(asked) if asked.count() <= _ASKED else asked  # few: the texts need not move
     texts = docs.select(F.xxhash64("text").alias("h"), "text").join(asked, "h").dropDuplicates(["h"])
     whole = materialize(texts.select("fp", "text").mapInArrow(work, "fp long, held array<long>"), "sets")
     left, right = (whole.select(F.col("fp").alias(c), F.col("held").alias(f"held_{c}")) for c in "ab")
@@ -162,9 +165,10 @@ def copy_roots(sets: DataFrame, docs: DataFrame) -> DataFrame:
     and no link that would join two components is lost.
     """
     sent = sets.select(F.explode("first").alias("g"), "fp")
-    members = sent.groupBy("g").agg(F.count("*").alias("_c"), F.bit_xor(F.xxhash64("fp")).alias("_x")).where("_c > 1")
-    often = members.groupBy("_c", "_x").agg(F.min("g").alias("g")).select("g")
-    groups = materialize(sent.join(often, "g").join(sets.select("fp", "n", "bits"), "fp").select("g", "fp", "n", "bits"), "groups")
+    often = sent.groupBy("g").agg(F.count("*").alias("_c")).where("_c > 1").select("g")
+    met_at = materialize(sent.join(often, "g"), "met-at")
+    same = met_at.groupBy("g").agg(F.count("*").alias("_c"), F.bit_xor(F.xxhash64("fp")).alias("_x")).groupBy("_c", "_x").agg(F.min("g").alias("g")).select("g")
+    groups = materialize(met_at.join(same, "g").join(sets.select("fp", "n", "bits"), "fp").select("g", "fp", "n", "bits"), "groups")
     links, roots = None, None
 
     def labelled() -> DataFrame:
