@@ -1,17 +1,18 @@
 """I-Match fingerprints over randomised lexicons.
 
-A term's document frequency is counted over all documents. The lexicon holds the terms of a band of it: in at least
-LOW of the documents (raised, where texts are so rich in terms that more than LEXICON terms would pass) and at most
-HIGH. So its size has a bound, and it is broadcast. A document's terms are its distinct words in the lexicon, or all
-its distinct words where it has none there. Classic I-Match hashes the sorted terms once, and one changed term changes
-the hash; here it hashes many random sub-lexicons. Each is a random share of the vocabulary, chosen by a hash of
-the term; the share is the power of 4 that leaves a document of this size a quarter of a term to one term on average. A fingerprint has
-the document's own share and the next smaller one, so documents of like size can be compared; likeness is the share of
-sub-lexicons with equal hashes, among those where either side has a term.
+A term's document frequency is counted over all documents. The lexicon holds the terms in at least LOW and at most HIGH
+of the documents. Each of its terms is in LOW of them, so it has at most (mean number of distinct terms of a document) /
+LOW terms, however many documents there are; it is broadcast as 64-bit hashes. A document's terms are its distinct words
+in the lexicon, or all its distinct words where fewer than FEW of them are. They are sorted and hashed: once over the
+whole lexicon, and once over each of a fixed set of random sub-lexicons, SUBSETS for each share 1/4, 1/16, ... of the
+vocabulary. The sub-lexicons are the same for all documents. Large shares tell whether two long lists are nearly the
+same, small ones how much of them is; likeness is the share of sub-lexicons with equal hashes, among those where either
+side has a term.
 
 Null texts are empty, and have the fingerprint without terms; two of these are alike. Equal texts have equal
-fingerprints. Neighbours in order of doc_id: nulls last, equal ids ordered by a hash of the text. Extra columns are not
-read. A single row is its own next document; an empty table gives no rows.
+fingerprints. Neighbours in order of doc_id: nulls last, equal ids ordered by a hash of the text. Repeated rows are each
+other's neighbours. Texts are read whole, whatever their length. Extra columns are not read. A single row is its own
+next document; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,24 +27,30 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm.common import documents, materialize, partitions
+from quarry.llm.common import documents, materialize, partitions, slices
 
-LOW, HIGH, LEXICON = 1e-3, 0.05, 250_000
-SUBSETS = 64
-_BLOCK_TERMS = 400_000
+LOW, HIGH, FEW = 1e-3, 0.05, 8
+#: Sub-lexicons of each share, and shares: 4**-1 to 4**-SHARES.
+SUBSETS, SHARES = 16, 6
+_BLOCK_TERMS = 200_000
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
 def terms_of(text: str) -> set[bytes]:
     return set(text.encode().lower().split())
 
 
-def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH, most: int = LEXICON) -> set[bytes]:
-    """Terms of the band; at most `most`, a bound that holds by raising the lower end of the band."""
+def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> np.ndarray:
+    """Hashes of the terms of the band, ascending."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
-        for batch in batches:
+
+        def out() -> pa.RecordBatch:
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, counts), np.uint64, len(counts)).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+
+        for batch in slices(batches):
             for text in batch.column("text").to_pylist():
                 counts.update(terms_of(text or ""))
                 if len(counts) > _BLOCK_TERMS:
@@ -52,63 +59,63 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH, most: int = L
         yield out()
 
     n = docs.count()
-    counted = docs.select("text").mapInArrow(work, "term binary, n long").groupBy("term").agg(F.sum("n").alias("df"))
-    band = materialize(counted.where((F.col("df") >= low * n) & (F.col("df") <= max(high * n, 1))), "terms")
-    sizes = sorted(((r["df"], r["n"]) for r in band.groupBy("df").agg(F.count("*").alias("n")).collect()), reverse=True) if band.count() > most else []
-    least, total = 0, 0
-    for df, k in sizes:
-        total += k
-        if total > most:
-            least = df + 1
-            break
-    return {bytes(r["term"]) for r in band.where(F.col("df") >= least).select("term").collect()}
+    counted = docs.select("text").mapInArrow(work, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
+    band = counted.where((F.col("df") >= low * n) & (F.col("df") <= max(high * n, 1))).select("term")
+    return np.sort(np.array([r["term"] for r in band.collect()], np.int64).view(np.uint64))
 
 
 class Fingerprinter:
-    def __init__(self, lexicon: set[bytes], subsets: int = SUBSETS):
-        self.subsets = subsets
-        self._hashes = {t: xxhash.xxh64_intdigest(t) for t in lexicon}
-        self._salts = np.array([xxhash.xxh64_intdigest(b"subset %d" % k) | 1 for k in range(subsets)], np.uint64)
-
-    def _tiers(self, hashes: np.ndarray, tier: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of the sorted terms of each sub-lexicon, of share 4**-tier and 4**-(tier + 1); 0 where it has no term."""
-        mixed = hashes[None, :] * self._salts[:, None]
-        mixed ^= mixed >> np.uint64(29)
-        mixed *= np.uint64(0xBF58476D1CE4E5B9)
-        mixed ^= mixed >> np.uint64(32)
-        subset, term = np.nonzero((mixed >> np.uint64(64 - 2 * tier)) == 0)  # by subset, then by term
-        values = mixed[subset, term]
-        out = []
-        for share in (2 * tier, 2 * tier + 2):
-            inside = (values >> np.uint64(64 - share)) == 0
-            subset, values = subset[inside], values[inside]
-            held, raw = np.zeros(self.subsets, np.uint16), values.tobytes()
-            cuts = np.flatnonzero(np.diff(subset, prepend=-1, append=self.subsets)) * 8
-            for k, i, j in zip(subset[cuts[:-1] // 8].tolist(), cuts[:-1].tolist(), cuts[1:].tolist()):
-                held[k] = xxhash.xxh3_64_intdigest(raw[i:j]) & 0xFFFF | 1
-            out.append(held)
-        return out[0], out[1]
-
-    def of(self, text: str) -> tuple[int, np.ndarray, np.ndarray]:
-        words = terms_of(text)
-        found = [h for h in map(self._hashes.get, words) if h is not None] or list(map(xxhash.xxh64_intdigest, words))
-        hashes = np.sort(np.array(found, np.uint64))
-        tier = 1 + (max(1, len(found)).bit_length() - 1) // 2
-        return tier, *self._tiers(hashes, tier)
+    """Fingerprint of a text: hash of all its terms, and one of those in each sub-lexicon, by share; 0 where there are none."""
 
+    def __init__(self, lexicon: np.ndarray):
+        self._lexicon = lexicon
+        self._salts = np.array([xxhash.xxh64_intdigest(b"subset %d" % k) | 1 for k in range(SUBSETS)], np.uint64)[:, None]
 
-def told(fp: tuple[int, np.ndarray, np.ndarray]) -> str:
-    """Tier, and 4 hexadecimal digits for each sub-lexicon of it and of the next."""
-    return f"{fp[0]:x}-" + fp[1].astype(">u2").tobytes().hex() + "-" + fp[2].astype(">u2").tobytes().hex()
-
-
-def likeness(a: tuple[int, np.ndarray, np.ndarray], b: tuple[int, np.ndarray, np.ndarray]) -> float:
-    """0 to 1. Documents whose sizes are tiers apart share no comparable sub-lexicons, and are unlike."""
-    if abs(a[0] - b[0]) > 1:
-        return 0.0
-    x, y = (a[1], b[1]) if a[0] == b[0] else (a[2], b[1]) if a[0] < b[0] else (a[1], b[2])
-    some = (x > 0) | (y > 0)
-    return float((x == y)[some].mean()) if some.any() else float((a[1] == b[1]).all() if a[0] == b[0] else 0)
+    def terms(self, text: str) -> np.ndarray:
+        words = terms_of(text)
+        hashes = np.sort(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)))
+        if len(hashes) and len(self._lexicon):
+            at = np.minimum(np.searchsorted(self._lexicon, hashes), len(self._lexicon) - 1)
+            inside = hashes[self._lexicon[at] == hashes]
+            return inside if len(inside) >= FEW else hashes
+        return hashes
+
+    def of(self, text: str) -> tuple[int, np.ndarray]:
+        terms = self.terms(text)
+        held = np.zeros((SHARES, SUBSETS), np.uint16)
+        if not len(terms):
+            return 0, held.reshape(-1)
+        mixed = terms * self._salts
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= _MIX
+        mixed ^= mixed >> np.uint64(32)
+        subset, term = np.nonzero(mixed >> np.uint64(62) == 0)  # by subset, then by term
+        drawn, terms_in = mixed[subset, term], terms[term]
+        digest = xxhash.xxh3_64_intdigest
+        for k in range(SHARES):
+            if k:
+                inside = drawn >> np.uint64(62 - 2 * k) == 0
+                subset, drawn, terms_in = subset[inside], drawn[inside], terms_in[inside]
+            if not len(subset):
+                break
+            raw = terms_in.tobytes()
+            cuts = np.flatnonzero(np.diff(subset, prepend=-1, append=SUBSETS))
+            for j, a, b in zip(subset[cuts[:-1]].tolist(), (8 * cuts[:-1]).tolist(), (8 * cuts[1:]).tolist()):
+                held[k, j] = digest(raw[a:b]) & 0xFFFF | 1
+        return digest(terms.tobytes()), held.reshape(-1)
+
+
+def told(fp: tuple[int, np.ndarray]) -> str:
+    """16 hexadecimal digits for all terms, and 4 for each sub-lexicon."""
+    return f"{fp[0]:016x}-" + fp[1].astype(">u2").tobytes().hex()
+
+
+def likeness(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
+    """0 to 1."""
+    if a[0] == b[0]:
+        return 1.0
+    some = (a[1] > 0) | (b[1] > 0)
+    return float((a[1] == b[1])[some].mean()) if some.any() else 0.0
 
 
 def edited(text: str, other: str) -> str:
@@ -142,7 +149,7 @@ def compare_with_next(docs: DataFrame, low: float = LOW, high: float = HIGH) ->
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints, part, last = Fingerprinter(held.value), TaskContext.get().partitionId(), None
-        for batch in batches:
+        for batch in slices(batches):
             types = [batch.schema.field("doc_id").type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.string()]
             out = []
             for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
