@@ -5,10 +5,10 @@ encoded in ascending order, and cut into shards of about SHARD_IDS ids. A shard
 Elias-Fano code of the ends of its documents, the code of their ids, and the ids as 16-bit integers (32 where the
 vocabulary needs them). Shards travel in Parquet files, so any store that Spark writes to will do and a lost task
 leaves no half file. Bounds and ids need about 2 + log2(range / documents) bits a document; every 256th one of the
-upper bits is sampled, and select() starts there.
+upper bits is sampled in 32 bits, select() starts there, and the offsets that are read come from it.
 
-Every document ends with END_ID, so empty and null texts have one id. Null ids come first. Repeated rows are kept. An
-empty table gives no shards.
+Every document ends with END_ID, so empty and null texts have one id; texts are encoded whole, whatever their length.
+Null ids come first. Repeated rows are kept. Extra columns are not read. An empty table gives no shards.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ from quarry.llm.common import documents, materialize, partitions
 
 END_ID = 1
 SHARD_IDS = 4_000_000
-_MAGIC, _SAMPLE = b"QTF1", 256
+#: Ones between samples, and bytes that select() looks at together.
+_MAGIC, _SAMPLE, _LOOK = b"QTF2", 256, 96
 
 
 class EliasFano:
@@ -47,8 +48,14 @@ class EliasFano:
         upper[ones] = 1
         return cls(n, bits, low, np.packbits(upper, bitorder="little"), ones[::_SAMPLE].astype(np.uint64))
 
+    @staticmethod
+    def _kind(high_bytes: int) -> str:
+        """Samples are 32-bit, unless there are so many upper bits that they can't be."""
+        return "<u4" if high_bytes < 1 << 29 else "<u8"
+
     def dump(self) -> bytes:
-        return struct.pack("<QBQQ", self.n, self.low_bits, len(self.low), len(self.high)) + self.low.tobytes() + self.high.tobytes() + self.samples.tobytes()
+        samples = self.samples.astype(self._kind(len(self.high)))
+        return struct.pack("<QBQQ", self.n, self.low_bits, len(self.low), len(self.high)) + self.low.tobytes() + self.high.tobytes() + samples.tobytes()
 
     @classmethod
     def load(cls, raw: memoryview, at: int) -> tuple[EliasFano, int]:
@@ -56,25 +63,23 @@ class EliasFano:
         at += struct.calcsize("<QBQQ")
         low, at = np.frombuffer(raw, np.uint8, a, at), at + a
         high, at = np.frombuffer(raw, np.uint8, b, at), at + b
-        k = -(-n // _SAMPLE)
-        return cls(n, bits, low, high, np.frombuffer(raw, "<u8", k, at)), at + 8 * k
+        kind = np.dtype(cls._kind(b))
+        samples = np.frombuffer(raw, kind, -(-n // _SAMPLE), at)
+        return cls(n, bits, low, high, samples), at + samples.nbytes
 
     def select(self, i: int) -> int:
         """Position of the i-th one of the upper bits, from the sample before it."""
         at, left = int(self.samples[i // _SAMPLE]), i % _SAMPLE
-        byte = at // 8
-        bits = np.flatnonzero(np.unpackbits(self.high[byte : byte + 1], bitorder="little")[at % 8 :]) + at
-        while left >= len(bits):
-            left -= len(bits)
-            byte += 1
-            bits = np.flatnonzero(np.unpackbits(self.high[byte : byte + 1], bitorder="little")) + 8 * byte
-        return int(bits[left])
+        byte, skip = at >> 3, at & 7
+        while True:
+            ones = np.flatnonzero(np.unpackbits(self.high[byte : byte + _LOOK], bitorder="little")[skip:])
+            if left < len(ones):
+                return (byte << 3) + skip + int(ones[left])
+            left, byte, skip = left - len(ones), byte + _LOOK, 0
 
     def __getitem__(self, i: int) -> int:
-        low = 0
-        for k in range(self.low_bits):
-            at = i * self.low_bits + k
-            low |= (int(self.low[at >> 3]) >> (at & 7) & 1) << k
+        at = i * self.low_bits
+        low = int.from_bytes(self.low[at >> 3 : (at + self.low_bits + 7) >> 3].tobytes(), "little") >> (at & 7) & (1 << self.low_bits) - 1
         return ((self.select(i) - i) << self.low_bits) | low
 
     def all(self) -> np.ndarray:
@@ -144,8 +149,8 @@ def read_tokens(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 keys, coded, ids = load_shard(row["blob"])
-                ends = coded.all()
-                starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
+                ends = np.array([coded[i] for i in range(coded.n)], np.int64)  # each by select()
+                starts = np.concatenate((np.zeros(1, np.int64), ends[:-1]))
                 wide = ids.astype("<u4")
                 crc = [zlib.crc32(wide[i:j].tobytes()) for i, j in zip(starts.tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays(
