@@ -5,30 +5,35 @@ method adds strings that stand in a sensitive context, are not covered by a base
 compressor primed with an identifier dictionary compresses the text around the candidate with and without it; the
 difference, the marginal bytes, is compared with the candidate's length. Words, names and what is like its surroundings
 cost a few bytes; random keys cost nearly all of theirs. Other occurrences of the candidate itself are masked before.
+The dictionary is learnt: the names and words in most documents of the whole corpus (IDENTIFIERS of them, letters and
+underscores alone, so no key is among them), after a few fixed ones.
 
-A context begins at a sensitive word (camelCase too) and goes on from one secret to a string that follows it directly.
-What stands between the BEGIN and END lines of a private key is a secret as a whole. Of a string that a base span
+A context reaches a little before and after a sensitive word (camelCase too), and goes on from one secret to a string
+that follows it directly. What stands between the BEGIN and END lines of a private key is a secret as a whole. Of a string that a base span
 covers in part, the rest is measured.
 
-Spans are in code points, end exclusive. Null and empty texts have none. Repeated rows are scanned one by one; extra
-columns are not read by find(), and pass through redact().
+Spans are in code points, end exclusive. Null and empty texts have none. Texts are read whole, and candidates run to
+their own ends, whatever the length. Spans that start together are in the order of kinds. Repeated rows are scanned one
+by one; extra columns are not read by find(), and pass through redact(). An empty table gives no rows, and a dictionary
+of the fixed words alone.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm.common import documents
+from quarry.llm.common import documents, slices
 
 KINDS = ("assign", "access", "hex", "novel")
 #: Marginal bytes a character from which a candidate counts as incompressible; characters of context on either side.
-NOVELTY, CONTEXT = 0.55, 160
+NOVELTY, CONTEXT = 0.85, 160
 
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -43,31 +48,54 @@ _SENSITIVE = re.compile(
 )
 _CUES = ("passw", "pwd", "secret", "token", "credential", "bearer", "authorization", "private", "key")
 _LEAST = 16
+_LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % _LEAST)
-_REACH = 48
+#: How far after and before a sensitive word a candidate may begin and end.
+_REACH, _BACK = 48, 24
 #: What may stand between two strings that follow each other; the lines around a private key.
 _GAP = re.compile(r"[\s\"'+,;\\>|#*]{0,16}")
 _BEGIN, _FENCE = re.compile(r"-{4,5} ?BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z ]*-{4,5}"), re.compile(r"-{4,5} ?(BEGIN|END) ")
 
-#: Identifiers and words of code and prose that are no secrets; zstandard's raw-content dictionary.
-IDENTIFIERS = (
+#: Names that are learnt from the corpus, and their length.
+IDENTIFIERS, _NAME = 4096, (4, 24)
+#: Identifiers and words of code and prose that are no secrets, which begin zstandard's raw-content dictionary.
+FIXED = (
     " the and of to in is that for with from this return import def class self public private static void string int boolean float double null true false"
     " username user_name password passwd secret token api_key apikey access_key client_id client_secret authorization bearer private_key public_key config"
     " settings environment variable example placeholder changeme your_password your-api-key YOUR_API_KEY xxxxxxxxxxxxxxxx 0123456789 1234567890 abcdefghijklmnopqrstuvwxyz"
     " ABCDEFGHIJKLMNOPQRSTUVWXYZ https://www. http://localhost:8080/ .com .org .example.com /usr/local/bin/ application/json content-type utf-8 getElementById"
+    " 2010-01-01 2015-12-31 2018-06-30 2019-10-05 2020-02-28 2021-03-15 2022-04-10 2023-07-20 2024-08-25 2025-09-11 2026-11-30 T00:00:00Z 12:30:45"
     " toString valueOf hashCode equals length index value name type data key list map set get put post delete update insert select where order group by limit"
 ).encode()
 
 
+def learn_identifiers(docs: DataFrame, most: int = IDENTIFIERS) -> bytes:
+    """The dictionary: fixed words, then the names in most documents, the most frequent last, where matches are cheapest. At most `most` names go to the driver."""
+    names = F.filter(F.array_distinct(F.split("text", "[^A-Za-z_]+")), lambda w: F.length(w).between(*_NAME))
+    counted = docs.select(F.explode(names).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    return FIXED + b" " + " ".join(r["name"] for r in reversed(counted.orderBy(F.desc("n"), "name").limit(most).collect())).encode()
+
+_AHEAD = FIXED[:96]
+
+
 class Novelty:
-    """Marginal compressed bytes of a string in its context."""
+    """Marginal compressed bytes of a string in its context.
 
-    def __init__(self, identifiers: bytes = IDENTIFIERS, level: int = 3):
+    The fast strategy with a target length leaves literals as they are, so what no match covers costs a byte a
+    character, however random the surroundings; matches of 4 characters on count.
+    """
+
+    def __init__(self, identifiers: bytes = FIXED):
+        how = zstandard.ZstdCompressionParameters(
+            window_log=18, chain_log=16, hash_log=17, search_log=1, min_match=4, target_length=1, strategy=zstandard.STRATEGY_FAST, write_content_size=False, write_checksum=False
+        )
         primed = zstandard.ZstdCompressionDict(identifiers, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        self._c = zstandard.ZstdCompressor(level=level, dict_data=primed, write_content_size=False, write_checksum=False)
+        primed.precompute_compress(compression_params=how)
+        self._c = zstandard.ZstdCompressor(dict_data=primed, compression_params=how)
 
     def marginal(self, before: str, candidate: str, after: str) -> int:
-        size = lambda s: len(self._c.compress(s.encode()))
+        # what the dictionary has goes ahead, so that either text compresses, and neither is stored as it is
+        size = lambda s: len(self._c.compress(_AHEAD + s.encode()))
         return size(before + after + candidate) - size(before + after)
 
 
@@ -90,36 +118,53 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -
     if not any(x in low for x in _CUES):
         return []
     found = key_blocks(text, base)
-    covered, done = sorted(base + found), 0
+    covered, done = _Covered(base + found), 0
+
+    def measured(start: int, end: int, word: str) -> tuple[list[tuple[int, int, int]], bool]:
+        """Spans of a candidate, and whether none of it was covered before."""
+        parts = covered.outside(start, end)
+        return [(s, 3, e) for s, e in parts if _mixed(word) and (s > start or e - s >= _LEAST and _mixed(text[s:e])) and _novel(text, s, e, novelty)], parts == [(start, end)]
+
     for cue in _SENSITIVE.finditer(text):
+        at = max(done, cue.start() - _BACK)
+        while at > done and text[at - 1] in _LETTERS:  # to the start of what ends within reach
+            at -= 1
+        for m in _CANDIDATE.finditer(text, at, cue.start()):
+            if m.end() == cue.start() or m.start() < done:  # what goes on into the word, or was looked at
+                continue
+            found += measured(*m.span(), m[0])[0]
+            done = m.end()
         at, limit = max(done, cue.end()), cue.end() + _REACH
         while m := _CANDIDATE.search(text, at, max(at, limit + _LEAST)):
             m = _CANDIDATE.match(text, m.start())  # to its own end
             at = done = m.end()
-            parts = _outside(m.start(), m.end(), covered)
-            whole = parts == [m.span()]
-            new = [(s, 3, e) for s, e in parts if _mixed(m[0]) and (s > m.start() or e - s >= _LEAST and _mixed(text[s:e])) and _novel(text, s, e, novelty)]
+            new, whole = measured(*m.span(), m[0])
             found += new
             if new or not whole:
                 limit = max(limit, _GAP.match(text, at).end())
     return found
 
 
-def _mixed(word: str) -> bool:
-    return any(c.isdigit() for c in word) and any(c.isalpha() for c in word)
+class _Covered:
+    """Spans (start, kind, end) that may overlap."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        self._spans = sorted(spans)
+        self._starts, self._reach = [s for s, _, _ in self._spans], list(accumulate((e for _, _, e in self._spans), max))
 
+    def outside(self, start: int, end: int) -> list[tuple[int, int]]:
+        """Parts of start to end that no span has."""
+        out = []
+        for s, _, e in self._spans[bisect_right(self._reach, start) : bisect_left(self._starts, end)]:
+            if e > start:
+                if s > start:
+                    out.append((start, s))
+                start = e
+        return out + [(start, end)] if start < end else out
 
-def _outside(start: int, end: int, covered: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Parts of start to end that no covered span, in order of start, has."""
-    out = []
-    for s, _, e in covered:
-        if s >= end:
-            break
-        if e > start:
-            if s > start:
-                out.append((start, s))
-            start = e
-    return out + [(start, end)] if start < end else out
+
+def _mixed(word: str) -> bool:
+    return any(c.isdigit() for c in word) and any(c.isalpha() for c in word)
 
 
 def _masked(text: str, start: int, end: int, word: str) -> str:
@@ -140,7 +185,7 @@ def _novel(text: str, start: int, end: int, novelty: Novelty) -> bool:
 
 def key_blocks(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the lines between BEGIN and END of private keys, apart from base spans."""
-    out = []
+    out, covered = [], _Covered(base)
     for begin in _BEGIN.finditer(text):
         end = _FENCE.search(text, begin.end())
         if not end or end[1] != "END":
@@ -148,37 +193,39 @@ def key_blocks(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
         body = text[begin.end() : end.start()]
         if any(_mixed(m[0]) for m in _CANDIDATE.finditer(body)):
             start = begin.end() + len(body) - len(body.lstrip())
-            out += [(s, 3, e) for s, e in _outside(start, begin.end() + len(body.rstrip()), base) if text[s:e].strip()]
+            out += [(s, 3, e) for s, e in covered.outside(start, begin.end() + len(body.rstrip())) if text[s:e].strip()]
     return out
 
 
-def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str], list[list], list[list]]]:
-    novelty = Novelty()
-    for batch in batches:
+def _spans(batches: Iterator[pa.RecordBatch], identifiers: bytes) -> Iterator[tuple[pa.RecordBatch, list[str], list[list], list[list]]]:
+    novelty = Novelty(identifiers)
+    for batch in slices(batches):
         texts = [t or "" for t in batch.column("text").to_pylist()]
         base = [base_spans(t) for t in texts]
         yield batch, texts, base, [b + novel_spans(t, b, novelty) for t, b in zip(texts, base)]
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """doc_id, spans array<struct<kind, start, end>> ordered by start, then kind; base array likewise, the patterns' spans alone."""
+def find(docs: DataFrame, identifiers: bytes | None = None) -> DataFrame:
+    """doc_id, spans array<struct<kind, start, end>> ordered by start, then kind; base array likewise, the patterns' spans alone. identifiers: a dictionary to use instead of that of docs."""
+    known = learn_identifiers(docs) if identifiers is None else identifiers
 
     def work(batches):
         told = lambda spans: [{"kind": KINDS[k], "start": s, "end": e} for s, k, e in sorted(spans)]
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-        for batch, _, base, every in _spans(batches):
+        for batch, _, base, every in _spans(batches, known):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(told, base), kind), pa.array(map(told, every), kind)], ["doc_id", "base", "spans"])
 
     one = "array<struct<kind:string,start:int,end:int>>"
     return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, base {one}, spans {one}")
 
 
-def redact(docs: DataFrame, by: str = "[secret]") -> DataFrame:
+def redact(docs: DataFrame, by: str = "[secret]", identifiers: bytes | None = None) -> DataFrame:
     """docs with every span of text replaced, and n_chars counted anew where there is such a column. Null texts stay null."""
     at = docs.columns.index("text")
+    known = learn_identifiers(docs) if identifiers is None else identifiers
 
     def work(batches):
-        for batch, texts, _, every in _spans(batches):
+        for batch, texts, _, every in _spans(batches, known):
             out = []
             for text, spans in zip(texts, every):
                 parts, done = [], 0
