@@ -338,10 +338,51 @@ def test_imatch(spark, sf_dir, docs):
     assert np.mean([r["near_edited"] > r["near_next"] for r in got if r["n_chars"] > 200]) > 0.95
 
 
+def imatch_print(text, band):
+    """(hash of all terms, {(share, subset): hash}) in plain integers."""
+    full = (1 << 64) - 1
+    every = sorted({xxhash.xxh64_intdigest(w.encode()) for w in words(text)})
+    terms = [h for h in every if h in band]
+    terms = terms if len(terms) >= imatch.FEW else every
+    listed = lambda hs: b"".join(h.to_bytes(8, "little") for h in hs)
+    held = {}
+    for j in range(16):
+        salt = xxhash.xxh64_intdigest(b"subset %d" % j) | 1
+        drawn = {}
+        for h in terms:
+            x = h * salt & full
+            x = (x ^ x >> 29) * 0xBF58476D1CE4E5B9 & full
+            drawn[h] = x ^ x >> 32
+        for k in range(1, 7):
+            some = [h for h in terms if drawn[h] >> 64 - 2 * k == 0]
+            held[k, j] = xxhash.xxh3_64_intdigest(listed(some)) & 0xFFFF | 1 if some else 0
+    return xxhash.xxh3_64_intdigest(listed(terms)) if terms else 0, held
+
+
+def imatch_likeness(a, b):
+    if a[0] == b[0]:
+        return 1.0
+    some = [k for k in a[1] if a[1][k] or b[1][k]]
+    return sum(a[1][k] == b[1][k] for k in some) / len(some) if some else 0.0
+
+
+def test_imatch_by_brute_force(spark, sf_dir, docs):
+    texts = [t for _, t in docs]
+    df = collections.Counter(w for t in texts for w in set(words(t)))
+    band = {xxhash.xxh64_intdigest(w.encode()) for w, n in df.items() if imatch.LOW * len(texts) <= n <= imatch.HIGH * len(texts)}
+    told = lambda p: f"{p[0]:016x}-" + "".join(f"{h:04x}" for h in p[1].values())
+    in_order = lambda p: (p[0], {(k, j): p[1][k, j] for k in range(1, 7) for j in range(16)})
+    own = [in_order(imatch_print(t, band)) for t in texts]
+    new = [in_order(imatch_print(imatch.edited(t, texts[k - 1]), band)) for k, t in enumerate(texts)]
+    got = by_id(imatch.op5_imatch(spark, sf_dir))
+    assert [r["fingerprint"] for r in got] == list(map(told, own)) and [r["edited_fingerprint"] for r in got] == list(map(told, new))
+    assert [r["near_edited"] for r in got] == pytest.approx([imatch_likeness(a, b) for a, b in zip(own, new)])
+    assert [r["near_next"] for r in got] == pytest.approx([imatch_likeness(a, own[k - 1]) for k, a in enumerate(own)])
+
+
 def test_imatch_lexicon(spark):
     rows = spark.createDataFrame([(k, "every " + ("pair " if k < 2 else "") + f"own{k}") for k in range(100)], "doc_id long, text string")
-    assert imatch.lexicon(rows, 0.02, 0.05) == {b"pair"}
-    assert len(imatch.lexicon(rows, 0.0, 1.0, most=5)) <= 5
+    assert imatch.lexicon(rows, 0.02, 0.05).tolist() == [xxhash.xxh64_intdigest(b"pair")]
 
 
 def test_bpe_equals_the_library(spark, sf_dir, docs, library):
@@ -423,6 +464,35 @@ def test_secrets_repeated_nearby(form):
     assert key not in redacted(form.format(key)) and key[-20:] not in redacted(form.format(key))
 
 
+def test_secrets_recall_and_precision(spark, docs):
+    """Random keys planted near sensitive words in the test documents, and strings that are no keys in the same places."""
+    rng = random.Random(11)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    names = [w for _, t in docs for w in re.findall("[a-z]{6,12}", t)]
+    forms = ["the private key {} was left", "Authorization: Bearer {}", "client credentials\n  {}\nend", "dbPassword -> '{}'", "{} is the token", "export ACCESS_KEY {}", "pwd {}"]
+    none = [lambda: "_".join(rng.sample(names, 3)) + "_2", lambda: "/".join(rng.sample(names, 3)) + "/v1", lambda: rng.choice(names) * 2 + "2024", lambda: "a1" * 12]
+    rows, secret = [], {}
+    for k in range(400):
+        about = rng.choice(docs)[1]
+        at = rng.randrange(len(about) + 1)
+        key = "".join(rng.choice(alphabet) for _ in range(rng.randrange(20, 60))) if k % 2 == 0 else rng.choice(none)()
+        before = about[:at] + " " + rng.choice(forms[:4] if k % 4 == 1 else forms)
+        start = before.index("{}")
+        rows.append((k, before.replace("{}", key) + " " + about[at:]))
+        secret[k] = (start, start + len(key), k % 2 == 0)
+    got = {r["doc_id"]: [(x["start"], x["end"]) for x in r["spans"] if x["kind"] == "novel"] for r in secrets.find(frame(spark, rows)).collect()}
+    hit = {k: any(s < e2 and s2 < e for s2, e2 in got[k]) for k, (s, e, _) in secret.items()}
+    recall = np.mean([hit[k] for k, x in secret.items() if x[2]])
+    false = np.mean([hit[k] for k, x in secret.items() if not x[2]])
+    assert recall >= 0.95 and false <= 0.15, (recall, false)
+
+
+def test_secrets_dictionary_is_learnt(spark):
+    rows = [(k, "myInternalName other_word shared" + (" rare_thing" if k == 0 else "")) for k in range(5)] + [(9, None)]
+    known = secrets.learn_identifiers(frame(spark, rows), 3)
+    assert known == secrets.FIXED + b" shared other_word myInternalName" and secrets.learn_identifiers(frame(spark, [])) == secrets.FIXED + b" "
+
+
 def test_secrets_of_any_length():
     key = random_key(9000, 4)
     assert redacted("key: " + key + " end") == "key: " + "*" * 9000 + " end"
@@ -466,54 +536,80 @@ def test_plan_is_best_fit_decreasing():
         assert len(held) == len(bins)
 
 
+def ngrams(t):
+    """(order, context, word) of tokens; contexts are ends before a document, and the first token's triple is its pair."""
+    for i, w in enumerate(t):
+        yield 1, (), w
+        yield 2, (t[i - 1] if i else "",), w
+        yield 3, (t[i - 2] if i > 1 else "", t[i - 1]) if i else ("", ""), w
+
+
 def test_lm(spark, sf_dir, docs):
     got = by_id(lm.op9_lm_scores(spark, sf_dir))
     tokens = [[*words(t), ""] for _, t in docs]
     fold = [zlib.crc32(str(k).encode()) % 7 for k, _ in docs]
-    one, two = [collections.Counter() for _ in range(2)], [collections.Counter() for _ in range(2)]
+    seen, around = [collections.Counter() for _ in range(2)], [collections.Counter() for _ in range(2)]  # main, held out
     for t, f in zip(tokens, fold):
         if f != 2:
-            one[f == 3].update(t)
-            two[f == 3].update(zip(["", *t], t))
-    c, pairs = one[0] + one[1], two[0] + two[1]
+            for order, a, w in ngrams(t):
+                seen[f == 3][order, a, w] += 1
+                around[f == 3][order, a] += 1
+    c = collections.Counter({w: n for (order, _, w), n in (seen[0] + seen[1]).items() if order == 1})
     n, v = sum(c.values()), len(c)
-    array = lambda f, some: np.array([f(a, w) for a, w in some])
-    left = sorted(two[1])
-    context = array(lambda a, w: one[0][a], left)
-    ratios = lm.estimates(array(lambda a, w: two[0][a, w], left), context, array(lambda a, w: one[0][w], left), sum(one[0].values()), v)
-    weights = lm.interpolation_weights(lm.ratio_code(context, *ratios), array(lambda a, w: two[1][a, w], left))
+
+    def one(counts, contexts, weights, i, t):
+        p, grams = 1 / (v + 1), list(ngrams(t))[3 * i : 3 * i + len(weights)]
+        for (order, a, w), weight in zip(grams, weights):
+            m = contexts[order, a]
+            if order == 2 and a == ("",):
+                m = contexts[1, ()] and counts[1, (), ""]  # as often as documents end, they begin
+            if order == 3 and a == ("", ""):
+                m = counts[1, (), ""]
+            if m:
+                x = weight[int(np.log2(m + 1))]
+                p = x * counts[order, a, w] / m + (1 - x) * p
+        return p
+
+    weights = []
+    for order in (1, 2, 3):
+        codes = []
+        for t, f in zip(tokens, fold):
+            if f == 3:
+                for i, (o, a, w) in enumerate(list(ngrams(t))[order - 1 :: 3]):
+                    m = seen[0][1, (), ""] if a in (("",), ("", "")) else around[0][o, a]
+                    codes += lm.ratio_code(np.array([seen[0][o, a, w]]), np.array([m]), np.array([one(seen[0], around[0], weights, i, t)])).tolist()
+        weights.append(lm.order_weights(*np.unique(codes, return_counts=True)))
+    counts, contexts = seen[0] + seen[1], around[0] + around[1]
     for r, t, f in zip(got, tokens, fold):
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (f == 2, len(t), sum(c[w] > 0 for w in t), n)
         assert r["base_score"] == pytest.approx(sum(np.log10((c[w] + 1) / (n + v + 1)) for w in t))
-        want = 0
-        for a, w in zip(["", *t], t):
-            x = weights[int(np.log2(c[a] + 1))]
-            p1 = c[w] / n
-            want += np.log10(x[0] * (pairs[a, w] / c[a] if c[a] else p1) + x[1] * p1 + x[2] / (v + 1))
-        assert r["score"] == pytest.approx(want)
+        if len(t) < 400:
+            assert r["score"] == pytest.approx(sum(np.log10(one(counts, contexts, weights, i, t)) for i in range(len(t))), rel=1e-3)
     assert sum(r["score"] for r in got if r["held_out"]) > sum(r["base_score"] for r in got if r["held_out"])
 
 
 def test_lm_is_a_distribution():
     rng = np.random.default_rng(1)
-    pairs = rng.integers(0, 50, (9, 9)) * rng.integers(0, 2, (9, 9))
-    pairs[4] = pairs[:, 4] = 0  # seen nowhere: the unknown word
-    context, word = pairs.sum(axis=1), pairs.sum(axis=0)
-    weights = lm.interpolation_weights(lm.ratio_code(np.array([3, 900]), np.array([0.0, 40.0]), np.array([2.0, 0.0])), np.array([5, 7]))
-    assert weights.sum(axis=1) == pytest.approx(np.ones(65))
+    triples = rng.integers(0, 50, (9, 9, 9)) * rng.integers(0, 2, (9, 9, 9))
+    triples[4] = triples[:, 4] = triples[:, :, 4] = 0  # seen nowhere: the unknown word
+    pairs, word = triples.sum(axis=0), triples.sum(axis=(0, 1))
+    weights = [lm.order_weights(np.array([3 << 10 | 300, 9 << 10 | 200]), np.array([5, 7])) for _ in range(3)]
     for a in range(9):
-        p = 10 ** lm.log10_probability(weights, pairs[a], np.full(9, context[a]), word, int(word.sum()), 8)
-        assert p.sum() == pytest.approx(1) and (p > 0).all()
+        for b in range(9):
+            full = lambda x: np.full(9, x.sum())
+            p = lm.probability(weights, [word, pairs[b], triples[a, b]], [full(word), full(pairs[b]), full(triples[a, b])], 8)
+            assert p.sum() == pytest.approx(1) and (p > 0).all()
     zero = np.zeros(9, int)
-    assert 10 ** lm.log10_probability(weights, zero, zero, zero, 0, 8) == pytest.approx(np.full(9, 1 / 9))
+    assert lm.probability(weights, [zero] * 3, [zero] * 3, 8) == pytest.approx(np.full(9, 1 / 9))
 
 
 def test_lm_weights_do_not_lower_held_out_likelihood():
     rng = np.random.default_rng(2)
-    context, two, one, n = rng.integers(0, 5000, 400), rng.random(400) * 100 * rng.integers(0, 2, 400), rng.random(400) * 5, rng.integers(1, 9, 400)
-    weights = lm.interpolation_weights(lm.ratio_code(context, two, one), n)
-    value = lambda w: (n * np.log(w[lm.bucket(context)][:, 0] * two + w[lm.bucket(context)][:, 1] * one + w[lm.bucket(context)][:, 2])).sum()
-    assert value(weights) >= value(np.full((65, 3), 1 / 3)) - 1
+    context, n = rng.integers(1, 5000, 400), rng.integers(1, 9, 400)
+    count, below = context * rng.random(400) * rng.integers(0, 2, 400), rng.random(400) * 0.1 + 1e-6
+    weights = lm.order_weights(lm.ratio_code(count, context, below), n)
+    value = lambda w: (n * np.log(w[lm.bucket(context)] * count / context + (1 - w[lm.bucket(context)]) * below)).sum()
+    assert value(weights) >= value(np.full(65, 0.5)) - 1
 
 
 def test_token_files(spark, sf_dir, docs, library):
