@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -52,6 +53,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the shuffle files of finished writes go now, not whenever the driver happens to collect its garbage: Spark drops them when what refers to them is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def settle(make, name: str) -> DataFrame:
     """make() as a table of its own; the tables that it wrote on its way are dropped."""
     before = len(_written)
@@ -59,6 +66,7 @@ def settle(make, name: str) -> DataFrame:
     for spark, path in _written[before:-1]:
         _drop(spark, path)
     del _written[before:-1]
+    release(out.sparkSession)
     return out
 
 

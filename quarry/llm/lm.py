@@ -34,7 +34,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm.common import documents, id_remainder, materialize, partitions, slices
+from quarry.llm.common import documents, id_remainder, materialize, partitions, release, slices
 
 FOLDS, TEST, HELD = 7, 2, 3
 BLOCK_CHARS = 4_000_000
@@ -256,6 +256,7 @@ def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row."""
     held = materialize(blocks(docs), "blocks")
     counted = materialize(corpus_counts(held), "counts")
+    release(docs.sparkSession)
     none = F.lit(0).cast("long")
     sums = counted.where("block IS NULL").agg(*[F.coalesce(F.sum(c), none).alias(c) for c in ("n_main", "n_held", "n_types")]).first()
     main, total, types = int(sums["n_main"]), int(sums["n_main"] + sums["n_held"]), int(sums["n_types"])
