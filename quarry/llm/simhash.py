@@ -23,13 +23,14 @@ none of the links. Equal sets are folded before. Texts without words have equal,
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quarry.llm.common import documents, materialize, slices
+from quarry.llm.common import documents, materialize, release, settle, slices
 from quarry.llm.graph import components
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
@@ -41,7 +42,7 @@ _BLOCK = 1 << 16
 STAGE_SHINGLE, ALIKE, OF = 5, 4, 5
 #: Texts read for frequent shingles; from how many of them a shingle is frequent; most that are broadcast.
 _SAMPLE, _FREQUENT, _MOST = 10_000, 3, 250_000
-#: Rows of two longs that are broadcast at most.
+#: Rows of five numbers that are broadcast at most.
 _ASKED = 200_000
 #: Sets that those at a shingle are compared with in a round, and rounds before all that is left is compared.
 HUBS, ROUNDS = 3, 2
@@ -140,20 +141,24 @@ def _may_be_alike(a: str, b: str) -> Column:
 
 
 def _verified(met: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of the pairs met (a, b: fp), those whose whole sets are alike."""
+    """Of the pairs met (a, b: fp), those whose whole sets are alike. The two texts of a pair come together, one row of docs for each."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            held = [shingles(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(held, pa.list_(pa.int64()))], ["fp", "held"])
-
-    asked = materialize(met.select("a").union(met.select("b")).distinct().withColumnRenamed("a", "fp").join(sets.select("fp", "h"), "fp"), "asked")
+        known = lru_cache(maxsize=64)(shingles)  # what many are compared with
+        for batch in batches:
+            alike = []
+            for x, y in zip(*(batch.column(c).to_pylist() for c in ("x", "y"))):
+                x, y = known(x), known(y)
+                alike.append(len(np.intersect1d(x, y, assume_unique=True)) * (ALIKE + OF) >= (len(x) + len(y)) * ALIKE)
+            yield batch.filter(pa.array(alike, pa.bool_())).select(["a", "b"])
+
+    own = sets.select("fp", "h", "least")
+    sides = [met.select("a", "b", F.lit(k).alias("side"), F.col(c).alias("fp")).join(own, "fp").select("a", "b", "side", "h", "least") for k, c in enumerate("ab")]
+    asked = materialize(sides[0].union(sides[1]), "asked")
     asked = F.broadcast(asked) if asked.count() <= _ASKED else asked  # few: the texts need not move
-    texts = docs.select(F.xxhash64("text").alias("h"), "text").join(asked, "h").dropDuplicates(["h"])
-    whole = materialize(texts.select("fp", "text").mapInArrow(work, "fp long, held array<long>"), "sets")
-    left, right = (whole.select(F.col("fp").alias(c), F.col("held").alias(f"held_{c}")) for c in "ab")
-    common, both = F.size(F.array_intersect("held_a", "held_b")), F.size("held_a") + F.size("held_b")
-    return materialize(met.join(left, "a").join(right, "b").where(common * (ALIKE + OF) >= both * ALIKE).select("a", "b"), "links")
+    texts = docs.select(F.xxhash64("text").alias("h"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).join(asked, "h").where(F.col("doc_id").eqNullSafe(F.col("least")))
+    both = texts.groupBy("a", "b").agg(*[F.max(F.when(F.col("side") == k, F.col("text"))).alias(c) for k, c in enumerate("xy")])
+    return both.mapInArrow(work, "a long, b long")
 
 
 def copy_roots(sets: DataFrame, docs: DataFrame) -> DataFrame:
@@ -168,6 +173,7 @@ def copy_roots(sets: DataFrame, docs: DataFrame) -> DataFrame:
     often = sent.groupBy("g").agg(F.count("*").alias("_c")).where("_c > 1").select("g")
     met_at = materialize(sent.join(often, "g"), "met-at")
     same = met_at.groupBy("g").agg(F.count("*").alias("_c"), F.bit_xor(F.xxhash64("fp")).alias("_x")).groupBy("_c", "_x").agg(F.min("g").alias("g")).select("g")
+    release(docs.sparkSession)
     groups = materialize(met_at.join(same, "g").join(sets.select("fp", "n", "bits"), "fp").select("g", "fp", "n", "bits"), "groups")
     links, roots = None, None
 
@@ -178,7 +184,8 @@ def copy_roots(sets: DataFrame, docs: DataFrame) -> DataFrame:
 
     def joined(met: DataFrame) -> None:
         nonlocal links, roots
-        found = _verified(materialize(met.select(F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b")).distinct(), "met"), sets, docs)
+        pairs = met.select(F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b")).distinct()
+        found = settle(lambda: _verified(materialize(pairs, "met"), sets, docs), "links")
         links = found if links is None else links.union(found)
         roots = components(links)
 
@@ -220,7 +227,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), *columns], ["doc_id", "h", "fp", "n", "first", "bits"])
 
     rows = materialize(docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(work, f"doc_id {kind}, h long, fp long, n int, first array<long>, bits array<long>"), "shingles")
-    sets = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "first", "bits", "h")]), "distinct")
+    first_row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"))  # stands for all rows with the set
+    folded = rows.groupBy("fp").agg(first_row.alias("row"), *[F.first(c).alias(c) for c in ("n", "first", "bits")])
+    sets = materialize(folded.select("fp", F.col("row.doc_id").alias("least"), F.col("row.h").alias("h"), "n", "first", "bits"), "distinct")
     roots = copy_roots(sets, docs)
     rooted = sets.select("fp", "least").join(roots.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
