@@ -27,12 +27,12 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm.common import documents, materialize, partitions, slices
+from quarry.llm.common import documents, materialize, partitions, release, slices
 
 LOW, HIGH, FEW = 1e-3, 0.05, 8
 #: Sub-lexicons of each share, and shares: 4**-1 to 4**-SHARES.
 SUBSETS, SHARES = 16, 6
-_BLOCK_TERMS = 200_000
+_BLOCK_TERMS = 400_000
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -138,6 +138,7 @@ def compare_with_next(docs: DataFrame, low: float = LOW, high: float = HIGH) ->
     """
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(lexicon(docs, low, high))
+    release(spark)  # the counts' shuffle goes before the texts move
     kind = docs.schema["doc_id"].dataType.simpleString()
     columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
