@@ -17,21 +17,23 @@ def first_of(key: list[str | Column], order: list[str | Column]) -> Column:
 
 
 def judged(records: DataFrame) -> DataFrame:
-    """records (line_no, id, title, abstract, categories) with drop_reason.
+    """records (line_no, unique; id, title, abstract, categories) with drop_reason.
 
-    An id counts as seen whatever becomes of its row later; content counts as seen among first rows of their ids.
-    Two windows over keys of the data (id, hash of the content): nothing meets in one task but equal keys.
+    An id counts as seen whatever becomes of its row later; content counts as seen among first rows of their ids. Both
+    are minima of line_no by key, combined where the rows lie: rows with a missing field take no part, and of a hot id
+    or content one row a task is exchanged. Only line numbers, keys and flags go through these, no text.
     """
-    r = records.select("*", t.normalize_space("id").alias("_id"), F.sha1(t.content_key("title", "abstract").cast("binary")).alias("_key"))
-    missing = (F.col("_id") == "") | (t.normalize_space("title") == "") | (t.normalize_space("abstract") == "") | (t.normalize_space("categories") == "")
-    r = r.withColumn("_missing", missing)
-    r = r.withColumn("_nth_id", first_of(["_missing", "_id"], ["line_no"]))
-    r = r.withColumn("_nth_key", first_of(["_missing", F.col("_nth_id") == 1, "_key"], ["line_no"]))
+    missing = (t.normalize_space("id") == "") | (t.normalize_space("title") == "") | (t.normalize_space("abstract") == "") | (t.normalize_space("categories") == "")
+    light = records.where(~missing).select("line_no", t.normalize_space("id").alias("_id"), F.sha1(t.content_key("title", "abstract").cast("binary")).alias("_key"))
+    first = light.groupBy("_id").agg(F.min(F.struct("line_no", "_key")).alias("_f")).select("_f.line_no", "_f._key")
+    new = first.groupBy("_key").agg(F.min("line_no").alias("line_no")).select("line_no", F.lit(True).alias("_new"))
+    seen = first.select("line_no", F.lit(True).alias("_first")).join(new, "line_no", "left")
+    flagged = records.withColumns({"_missing": missing, "_short": t.word_count("abstract") <= SHORT, "_placeholder": t.is_placeholder("abstract")})
     reason = (
-        F.when(F.col("_missing"), REASONS[0]).when(F.col("_nth_id") > 1, REASONS[1]).when(F.col("_nth_key") > 1, REASONS[2])
-        .when(t.word_count("abstract") <= SHORT, REASONS[3]).when(t.is_placeholder("abstract"), REASONS[4]).otherwise(REASONS[5])
+        F.when(F.col("_missing"), REASONS[0]).when(F.col("_first").isNull(), REASONS[1]).when(F.col("_new").isNull(), REASONS[2])
+        .when(F.col("_short"), REASONS[3]).when(F.col("_placeholder"), REASONS[4]).otherwise(REASONS[5])
     )
-    return r.withColumn("drop_reason", reason).drop("_id", "_key", "_missing", "_nth_id", "_nth_key")
+    return flagged.join(seen, "line_no", "left").select(*records.columns, reason.alias("drop_reason"))
 
 
 def manifest(records: DataFrame) -> DataFrame:
