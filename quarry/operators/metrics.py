@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from quarry.functions import text as t
 from quarry.operators.splits import SEED, draw
 from quarry.operators.vectors import small, squared_distance
+from quarry.sources.shared import materialize
 
 
 def sample_exact(rows: DataFrame, n: int, id_column: str, seed: int | str = SEED) -> DataFrame:
@@ -37,21 +38,18 @@ def nmi(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def coherence(docs: DataFrame, top: int = 10, min_docs: int = 5, min_df: int = 2, features: int = 20_000) -> DataFrame:
-    """label, npmi: mean normalised pointwise mutual information of the pairs of each cluster's top terms that occur together. docs: id, label, text."""
-    words = docs.select("id", "label", F.explode(t.sparse_tokens("text")).alias("term"))
+    """label, npmi: mean normalised pointwise mutual information of the pairs of each cluster's top terms that occur together. docs: id (unique), label, text. Of a label at most top terms go on, so a document makes few pairs."""
     n = docs.count()
-    posting = words.select("id", "term").distinct()
-    counted = words.where(F.char_length("term") >= 2).groupBy("term").agg(F.count("*").alias("total"), F.count_distinct("id").alias("df")).where(F.col("df") >= min_df)
+    terms = materialize(docs.select("id", "label", F.explode(t.sparse_tokens("text")).alias("term")).where(F.char_length("term") >= 2).groupBy("id", "label", "term").agg(F.count("*").alias("tf")), "terms")
+    counted = terms.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).where(F.col("df") >= min_df)
     vocabulary = counted.orderBy(F.desc("total"), "term").limit(features).select("term", "df")
     large = docs.groupBy("label").agg(F.count("*").alias("m")).where(F.col("m") >= min_docs).select("label")
-    per = words.join(large, "label").join(vocabulary, "term").groupBy("label", "term", "df").agg(F.count("*").alias("c"))
-    best = per.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("c"), "term"))).where(F.col("r") <= top).select("label", "term", "df")
-    chosen = posting.join(best.select("term").distinct(), "term")
-    a, b = best.alias("a"), best.alias("b")
-    pairs = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.term") < F.col("b.term"))).select("a.label", F.col("a.term").alias("t1"), F.col("b.term").alias("t2"), F.col("a.df").alias("d1"), F.col("b.df").alias("d2"))
-    wanted = pairs.select("t1", "t2").distinct()
-    first = chosen.withColumnRenamed("term", "t1").join(wanted, "t1")
-    together = first.join(chosen.withColumnRenamed("term", "t2"), ["id", "t2"]).groupBy("t1", "t2").agg(F.count("*").alias("co"))
+    per = terms.groupBy("label", "term").agg(F.sum("tf").alias("c")).join(large, "label").join(vocabulary, "term")
+    best = materialize(per.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("c"), "term"))).where(F.col("r") <= top).select("label", "term", "df"), "best")
+    # pairs are made within each document, of the few chosen terms that it has, and counted where they are made
+    held = terms.select("id", "term").join(small(best), "term").groupBy("id", "label").agg(F.sort_array(F.collect_list(F.struct("term", "df"))).alias("x"))
+    pairs = F.flatten(F.transform("x", lambda a, i: F.transform(F.slice("x", i + 2, F.size("x")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    together = held.where(F.size("x") > 1).select("label", F.explode(pairs).alias("p")).groupBy("label", "p").agg(F.count("*").alias("co"))
     p = F.col("co") / n
-    score = F.log(p / ((F.col("d1") / n) * (F.col("d2") / n))) / -F.log(p)
-    return pairs.join(together, ["t1", "t2"]).where(F.col("co") < n).groupBy("label").agg(F.avg(score).alias("npmi"))
+    score = F.log(p / ((F.col("p.a.df") / n) * (F.col("p.b.df") / n))) / -F.log(p)
+    return together.where(F.col("co") < n).groupBy("label").agg(F.avg(score).alias("npmi"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from quarry.functions import text as t
 from quarry.functions.stopwords import STOP_WORDS
+from quarry.sources.shared import materialize
 
 CONFIGURATIONS = {"raw": t.raw_tokens, "plain": t.plain_tokens, "content": t.content_tokens}
 
@@ -23,7 +24,7 @@ def top_tokens(counts: DataFrame, limit: int = 2000) -> DataFrame:
 
 
 def vocabulary_metrics(counts: DataFrame, frequent: int = 1000) -> DataFrame:
-    n = F.col("n")
+    counts, n = materialize(counts, "token-counts"), F.col("n")  # read three times
     share = lambda cond, of, total: 100.0 * F.sum(F.when(cond, of).otherwise(0)) / total
     types, tokens = F.count("*"), F.sum("n")
     top = top_tokens(counts, 100).groupBy("configuration").agg(F.sum("n").alias("top100"))
@@ -43,13 +44,13 @@ def tfidf(records: DataFrame, fit: DataFrame | None = None, min_df: int = 2, max
 
     def terms(rows: DataFrame) -> DataFrame:
         tokens = F.filter(t.sparse_tokens("text"), lambda w: F.char_length(w) >= 2)
-        return rows.select("id", F.explode(tokens).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+        return materialize(rows.select("id", F.explode(tokens).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf")), "terms")
 
     base = records if fit is None else fit
-    n = base.count()
-    seen = terms(base).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= min_df)
+    n, own = base.count(), terms(records)
+    seen = (own if fit is None else terms(fit)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= min_df)
     vocabulary = seen.orderBy(F.desc("total"), "term").limit(max_features)
     idf = vocabulary.select("term", (F.log((1.0 + F.lit(n)) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    weighted = terms(records).join(idf, "term").select("id", "term", ((1.0 + F.log("tf")) * F.col("idf")).alias("w"))
-    norms = weighted.groupBy(F.col("id").alias("_id")).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighted.join(norms, F.col("id") == F.col("_id")).select("id", "term", (F.col("w") / F.col("norm")).alias("weight"))
+    weighted = own.join(idf, "term").select("id", "term", ((1.0 + F.log("tf")) * F.col("idf")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
+    return weighted.select("id", "term", (F.col("w") / norm).alias("weight"))

@@ -1,17 +1,23 @@
 """Dense vectors: centroids, nearest centroid, k nearest neighbours, retrieval metrics, singular vectors.
 
-A vector is an array; products are unrolled over its known dimension, so they stay in generated code. Centroids are
-one a class; they are broadcast only after a count of them.
+A vector is an array; products are unrolled over its known dimension, so they stay in generated code. Centroids and
+queries are broadcast in blocks of at most BROADCAST_ROWS: one block where there are few, and one after the other where
+there are more.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Rows of a side that may be broadcast (at some kilobytes each).
+#: Rows of a block that is broadcast (at some kilobytes each).
 BROADCAST_ROWS = 5_000
+#: Distances that a task holds at once.
+_HELD = 1_000_000
 
 
 def dimension(vectors: DataFrame, column: str = "embedding") -> int:
@@ -24,6 +30,12 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def blocks(df: DataFrame, key: str) -> list[DataFrame]:
+    """df in parts of about BROADCAST_ROWS rows at most, each with a broadcast hint, dealt by a hash of key."""
+    n = -(-df.count() // BROADCAST_ROWS)
+    return [F.broadcast(df)] if n <= 1 else [F.broadcast(df.where(F.pmod(F.xxhash64(key), F.lit(2 * n)) == k)) for k in range(2 * n)]
+
+
 def dot(a: Column, b: Column, dim: int) -> Column:
     return reduce(lambda x, y: x + y, [F.get(a, k).cast("double") * F.get(b, k).cast("double") for k in range(dim)], F.lit(0.0))
 
@@ -41,19 +53,46 @@ def centroids(vectors: DataFrame, group: str, column: str = "embedding", dim: in
 
 
 def nearest(vectors: DataFrame, centers: DataFrame, label: str, dim: int, column: str = "embedding") -> DataFrame:
-    """vectors with label (of the nearest center, ties to the smallest) and distance."""
-    pairs = vectors.crossJoin(small(centers.select(F.col(label).alias("_label"), F.col("centroid").alias("_centroid"))))
-    best = pairs.groupBy(*[c for c in vectors.columns if c != column]).agg(F.min(F.struct(squared_distance(F.col(column), F.col("_centroid"), dim).alias("d"), F.col("_label"))).alias("_best"))
-    return best.select(*[c for c in vectors.columns if c != column], F.col("_best._label").alias(label), F.sqrt("_best.d").alias("distance"))
+    """vectors but for column, with label (of the nearest center, ties to the smallest) and distance; repeated rows stay.
+
+    Rows are compared where they lie, with blocks of centers (one row a cluster) that the driver hands out; nothing is
+    exchanged. Without centers both are null.
+    """
+    spark, kind = vectors.sparkSession, centers.schema[label].dataType
+    held = sorted((r[0], r[1]) for r in centers.select(label, "centroid").toLocalIterator())
+    kept, dim = [c for c in vectors.columns if c != column], len(held[0][1]) if held else dim
+    parts = [(spark.sparkContext.broadcast(np.array([c for _, c in b], float).reshape(len(b), dim)), k) for k in range(0, len(held), BROADCAST_ROWS) for b in (held[k : k + BROADCAST_ROWS],)]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array(batch.column(column).to_pylist(), float).reshape(batch.num_rows, dim)
+            best, at = np.full(len(x), np.inf), np.full(len(x), -1)
+            for block, first in parts:
+                step = max(1, _HELD // (len(block.value) * dim))
+                for i in range(0, len(x), step):
+                    d = ((x[i : i + step, None, :] - block.value[None]) ** 2).sum(axis=2)
+                    k = d.argmin(axis=1)
+                    d = d[np.arange(len(d)), k]
+                    new = d < best[i : i + step]
+                    best[i : i + step][new], at[i : i + step][new] = d[new], first + k[new]
+            none = at < 0
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(at, mask=none), pa.array(np.sqrt(best), mask=none)], [*kept, "_at", "distance"])
+
+    schema = vectors.select(*kept).schema.add("_at", "long").add("distance", "double")
+    found = vectors.mapInArrow(work, schema)
+    return found.select(*kept, F.get(F.lit([k for k, _ in held]).cast(f"array<{kind.simpleString()}>"), F.col("_at").cast("int")).alias(label), "distance")
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, dim: int, q_id: str, c_id: str) -> DataFrame:
-    """q_id, rank, c_id, score (cosine) of the k nearest of each query; ties by id. queries: q_id, vector; a stated set, checked before it is broadcast."""
+    """q_id, rank, c_id, score (cosine) of the k nearest of each query; ties by id. queries: q_id, vector; a stated set, compared with all rows in blocks that are broadcast; of each task k rows a query are exchanged."""
     a, b = F.col("vector"), F.col("embedding")
-    pairs = corpus.crossJoin(small(queries.select(q_id, "vector")))
-    scored = pairs.withColumn("score", dot(a, b, dim) / F.sqrt(dot(a, a, dim) * dot(b, b, dim))).drop("vector", "embedding")
     order = Window.partitionBy(q_id).orderBy(F.round("score", 9).desc(), F.col(c_id))
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    def best(block: DataFrame) -> DataFrame:
+        scored = corpus.crossJoin(block).withColumn("score", dot(a, b, dim) / F.sqrt(dot(a, a, dim) * dot(b, b, dim))).drop("vector", "embedding")
+        return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    return reduce(DataFrame.union, map(best, blocks(queries.select(q_id, "vector"), q_id)))
 
 
 def retrieval_metrics(hits: DataFrame, support: DataFrame, n_queries: int, query: str = "label", found: str = "found", ks: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
