@@ -7,10 +7,13 @@ the buckets before.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SEED = 42
-_DIGITS = 2  # 256 buckets a class
+#: Rows that a bucket of a class should have at most; how many digits that takes is read off the largest class.
+BUCKET_ROWS = 50_000
 
 
 def draw(seed: int | str, id_column: str = "id") -> Column:
@@ -19,7 +22,9 @@ def draw(seed: int | str, id_column: str = "id") -> Column:
 
 def ranked(rows: DataFrame, group: str, seed: int | str = SEED, id_column: str = "id") -> DataFrame:
     """rows with rank (from 1, in the order of draw, then id, within group) and size of the group."""
-    h = rows.withColumn("_h", draw(seed, id_column)).withColumn("_b", F.substring("_h", 1, _DIGITS))
+    largest = rows.groupBy(group).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
+    digits = max(1, math.ceil(math.log(max(largest / BUCKET_ROWS, 1), 16)))
+    h = rows.withColumn("_h", draw(seed, id_column)).withColumn("_b", F.substring("_h", 1, digits))
     counts = h.groupBy(group, "_b").agg(F.count("*").alias("_n"))
     w = Window.partitionBy(group)
     bases = counts.select(F.col(group).alias("_g"), F.col("_b").alias("_bb"), F.coalesce(F.sum("_n").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"), F.sum("_n").over(w).alias("size"))
