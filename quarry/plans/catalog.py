@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.plans import clean_queries, eda_queries, model_queries, split_queries, text_queries  # noqa: F401  they register themselves
+from quarry.plans import clean_queries, eda_queries, model_queries, report_queries, split_queries, text_queries  # noqa: F401  they register themselves
 from quarry.plans.registry import QUERIES, SQL
 
 

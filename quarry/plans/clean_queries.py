@@ -25,11 +25,6 @@ def json_decode(spark, d):
     return records.decode_counts(table(spark, d, "events").select("event_type", F.col("props").alias("value")), ["event_type"])
 
 
-@query("a2_skip_blank", f"WITH {PAPERS_SQL} SELECT count(*) AS n FROM papers WHERE {q.ws('title')} <> ''")
-def skip_blank(spark, d):
-    return papers(spark, d).where(t.normalize_space("title") != "").agg(F.count("*").alias("n"))
-
-
 @query("a4_projected_scan", "SELECT doc_id, lang FROM documents")
 def projected_scan(spark, d):
     return table(spark, d, "documents").select("doc_id", "lang")

@@ -103,9 +103,3 @@ def drift(spark, d):
 @query("e13_worst_drift", f"WITH {RANDOM_SQL} SELECT * FROM ({DRIFT.format(t='random_rows')}) WHERE split = 'test' ORDER BY diff_pct DESC, category LIMIT 10")
 def worst(spark, d):
     return _rounded(splits.drift(splits.random_split(rows(spark, d)))).where("split = 'test'").orderBy(F.desc("diff_pct"), "category").limit(10)
-
-
-@query("a10_routed_write", f"WITH {split_sql()} SELECT split, count(*) AS n FROM split_rows GROUP BY 1")
-def routed(spark, d):
-    """What a write partitioned by split holds in each folder (sources.records.write_parquet(df, path, ['split']))."""
-    return splits.stratified_split(rows(spark, d)).groupBy("split").agg(F.count("*").alias("n"))
