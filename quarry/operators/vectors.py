@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from importlib.util import find_spec
 
 import numpy as np
 import pyarrow as pa
@@ -95,6 +96,11 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, dim: int, q_id: str, c_
     return reduce(DataFrame.union, map(best, blocks(queries.select(q_id, "vector"), q_id)))
 
 
+def backend(wanted: str = "exact") -> str:
+    """The index to use: a wanted library if it is installed, else the exact comparison of top_k()."""
+    return wanted if wanted == "exact" or find_spec(wanted) else "exact"
+
+
 def retrieval_metrics(hits: DataFrame, support: DataFrame, n_queries: int, query: str = "label", found: str = "found", ks: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
     """k, mrr, hit_rate weighted by the support of each query. hits: query, rank, found; support: query, weight."""
     first = hits.groupBy(query).agg(F.min(F.when(F.col(found) == F.col(query), F.col("rank"))).alias("first"))

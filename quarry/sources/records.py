@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
@@ -74,13 +76,35 @@ def write_json_document(path: str, value) -> None:
     new.replace(p)
 
 
-def batches(df: DataFrame, columns: list[str], size: int = 50_000):
+def batches(df: DataFrame, columns: list[str], size: int = 50_000) -> Iterator[pd.DataFrame]:
     """pandas frames of at most size rows, fetched partition by partition (for consumers outside Spark)."""
-    held = []
-    for row in df.select(*columns).toLocalIterator(prefetchPartitions=True):
-        held.append(row)
-        if len(held) == size:
-            yield df.sparkSession.createDataFrame(held, df.select(*columns).schema).toPandas()
-            held = []
-    if held:
-        yield df.sparkSession.createDataFrame(held, df.select(*columns).schema).toPandas()
+    rows = df.select(*columns).toLocalIterator(prefetchPartitions=True)
+    while held := list(islice(rows, size)):
+        yield pd.DataFrame.from_records(held, columns=columns)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a complete table (with its _SUCCESS file) is there."""
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+
+
+def cached(spark: SparkSession, make: Callable[[], DataFrame], root: str, *key: object, rows: int | None = None, dim: int | None = None) -> DataFrame:
+    """make() as a table under root, by key (subset, split, size of the sample, ...); one that is there is used again if it has so many rows, and vectors of that dimension."""
+    path = "/".join([root.rstrip("/"), *map(str, key)])
+    if exists(spark, path):
+        held = spark.read.parquet(path)
+        first = held.select(F.size("embedding").alias("n")).first() if dim is not None else None
+        if (rows is None or held.count() == rows) and (dim is None or (first and first["n"] == dim)):
+            return held
+    write_parquet(make(), path)
+    return spark.read.parquet(path)
+
+
+def save_model(model, path: str) -> None:
+    """A fitted pyspark.ml model; load_model(type(model), path) gives it back."""
+    model.write().overwrite().save(path)
+
+
+def load_model(kind: type, path: str):
+    return kind.load(path)

@@ -217,10 +217,88 @@ def test_report(spark):
 def test_runner(spark, sf_dir, tmp_path):
     from quarry.plans import runner
 
-    small = profile("local", tfidf_rows=100, dense=False, k_grid=(3,), min_df=2, svd_components=4, max_features=200, silhouette_sample=100)
-    small = Profile(**{**small.__dict__})
-    steps = runner.run(spark, small, sf_dir, str(tmp_path))
-    assert {"clean", "manifest"} <= set(steps.done), steps.failed
+    small = profile("local", tfidf_rows=120, dense_rows=60, k_grid=(3, 4), min_cluster_sizes=(3,), min_df=2, svd_components=4, max_features=200, silhouette_sample=100)
+    two = lambda: lambda xs: [[float(len(x)), 1.0 + x.count("e")] for x in xs]
+    steps = runner.run(spark, small, sf_dir, str(tmp_path), {"mpnet": two})
+    assert steps.failed["embed bert"].startswith("KeyError") and steps.failed["cluster bert kmeans"] == "needs embed bert"
+    wanted = {f"cluster {e} {c}" for e in ("tfidf", "mpnet") for c in ("kmeans", "density", "ward")} | {"retrieval", "report"}
+    assert wanted <= set(steps.done), steps.failed
+    held = records.read_json_document(f"{tmp_path}/{small.key()}/report.json")
+    assert len(held["metrics"]) == 6 and {s["stage_type"] for s in held["stages"]} == {"embedding", "clustering", "retrieval"}
+    assert all(m["test_label_count"] >= 1 and m["cluster_to_category_ratio"] > 0 for m in held["metrics"]) and held["findings"]
+    assert records.read_json_document(f"{tmp_path}/{small.key()}/report.ipynb")["nbformat"] == 4
+    found = report.search_results(spark, f"{tmp_path}/{small.key()}/search/*/*/*.csv", "k int, cost double, silhouette double, best boolean")
+    assert {(r["embedding"], r["clustering"]) for r in found.collect()} >= {("tfidf", "kmeans"), ("mpnet", "ward")}
+
+
+def test_nearest_keeps_repeated_rows(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", [0.0, 0.0]), ("a", [9.0, 9.0]), ("b", [5.0, 0.0]), (None, [9.0, 8.0])], "id string, embedding array<double>")
+    centers = spark.createDataFrame([(k, [float(k), float(k)]) for k in range(10)], "cluster int, centroid array<double>")
+    for block in (5000, 3):
+        monkeypatch.setattr(vectors, "BROADCAST_ROWS", block)
+        got = sorted((str(r["id"]), r["cluster"], round(r["distance"], 6)) for r in vectors.nearest(rows, centers, "cluster", 2).collect())
+        assert got == [("None", 8, 1.0), ("a", 0, 0.0), ("a", 9, 0.0), ("b", 2, round(13**0.5, 6))]
+        queries = spark.createDataFrame([(k, [1.0, float(k)]) for k in range(8)], "q int, vector array<double>")
+        hits = vectors.top_k(queries, rows.where("id = 'b' OR id IS NULL").withColumn("id", F.coalesce("id", F.lit("z"))), 1, 2, "q", "id").collect()
+        assert {(r["q"], r["id"]) for r in hits} == {(0, "b")} | {(k, "z") for k in range(1, 8)}
+    assert [r["cluster"] for r in vectors.nearest(rows, centers.where("cluster < 0"), "cluster", 2).collect()] == [None] * 4
+
+
+def test_waterfall_of_blank_ids_and_hot_content(spark):
+    rows = [("", "t", "a b", "c")] * 90 + [(f"i{k % 40}", "same title", "w " * 12, "c") for k in range(60)] + [("x", None, "w " * 12, "c"), ("y", "other", "w " * 12, "c")]
+    got = {r["drop_reason"]: r["n"] for r in clean.manifest(papers(spark, rows)).collect()}
+    assert got == {"missing_field": 91, "duplicate_id": 20, "duplicate_content": 39, "kept": 2}
+
+
+def test_mini_batches_come_near_full_k_means(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(c, 0.3, (80, 3)) for c in ((0, 0, 0), (6, 0, 0), (0, 6, 0), (6, 6, 6))])
+    v = spark.createDataFrame([(str(k), r.tolist()) for k, r in enumerate(x)], "id string, embedding array<double>")
+    small, full = (cluster.cost(v, cluster.fit_kmeans(v, 4, how)) for how in ("mini_batch", "full"))
+    assert full <= small * (1 + 1e-9) and small < 1.3 * full
+    grid = cluster.fit_grid(v, "density", [5, 20]).collect()
+    assert [r["clusters"] for r in grid if r["best"]] == [4]
+
+
+def test_cached_tables_and_models(spark, tmp_path):
+    from pyspark.ml.feature import NGram
+
+    made = []
+    frame = lambda n: lambda: made.append(n) or spark.createDataFrame([(k, [1.0, 2.0]) for k in range(n)], "id long, embedding array<double>")
+    get = lambda n, **k: records.cached(spark, frame(n), str(tmp_path), "sparse", "test", 25, **k).count()
+    assert (get(3), get(4), get(4, rows=3), get(4, rows=4), get(5, dim=2), get(5, dim=7)) == (3, 3, 3, 4, 4, 5) and made == [3, 4, 5]
+    records.save_model(NGram(n=3), str(tmp_path / "m"))
+    assert records.load_model(NGram, str(tmp_path / "m")).getN() == 3
+    assert [len(b) for b in records.batches(spark.range(7), ["id"], 3)] == [3, 3, 1]
+
+
+def test_report_documents(spark):
+    m = [{"pipeline": "TFIDF + Kmeans", "nmi": 0.5, "npmi": None, "silhouette": 0.1, "cluster_to_category_ratio": 2.0}, {"pipeline": "B", "nmi": 0.4, "npmi": 0.3, "silhouette": 0.2}]
+    said = report.findings(report.profile_summary(profile("whole"), report.split_report(None)), m, [{"pipeline_name": "x", "enabled": True, "success": False}], [{"k": 5, "mrr": 0.2, "hit_rate": 0.6}])
+    assert len(said) == 8 and any("TFIDF + Kmeans (nmi 0.5000)" in x for x in said) and any("x." in x for x in said)
+    assert report.findings({}, [], [], []) == ["No results."]
+    assert report.notebook([("markdown", "# a"), ("code", "1\n2")])["cells"][1]["source"] == ["1\n", "2"]
+    held = spark.createDataFrame([("a", 5, 0.3), ("b", 5, 0.1)], "stage string, setting int, score double")
+    new = spark.createDataFrame([("a", 5, 0.1), ("a", 9, 0.1)], "stage string, setting int, score double")
+    assert [(r["stage"], r["setting"]) for r in report.best_configs(held, new, ["stage"], "score", "setting").orderBy("stage").collect()] == [("a", 5), ("b", 5)]
+    assert vectors.backend() == vectors.backend("no_such_library") == "exact"
+    assert vectors.backend("json") == "json"
+    rows, best = encoders.search_reducers(held.select(F.col("stage").alias("id")), lambda df: df.count() * 1.0, {("half",): lambda df: df.limit(1), ("all",): lambda df: df})
+    assert [r["best"] for r in rows] == [False, True] and best.count() == 2
+
+
+def test_split_ranks_with_many_buckets(spark, monkeypatch):
+    rows = spark.range(500).select(F.col("id").cast("string").alias("id"), F.lit("c").alias("category"))
+    one = {r["id"]: r["rank"] for r in splits.ranked(rows, "category").collect()}
+    monkeypatch.setattr(splits, "BUCKET_ROWS", 3)
+    assert {r["id"]: r["rank"] for r in splits.ranked(rows, "category").collect()} == one and sorted(one.values()) == list(range(1, 501))
+
+
+def test_stop_words_are_a_parameter(tmp_path):
+    from quarry.functions import stopwords
+
+    (tmp_path / "w").write_text("the\nof\nthe\n")
+    assert stopwords.load(str(tmp_path / "w")) == ("of", "the") and stopwords.STOP_WORDS
 
 
 def test_streaming(spark, tmp_path):
