@@ -14,9 +14,9 @@ is never a component's id while the component has another.
 The pipeline's stage does not link by bits: texts whose sets of 5-word shingles have a Jaccard of 0.8 or more mostly
 differ in more than 2. near_copies() links exactly these. In any order of all shingles two such sets share one of their
 first n - ceil(0.8 n) + 1, so each set is sent once for each of these. Those that meet are linked over a few of them
-first, and only what is then still apart is compared in full (copy_roots); a sketch of parities, whose popcount of
-differences is a lower bound as the segments' is, rules most pairs out in the join, and the rest is checked on the whole
-sets. Shingles that are frequent in a sample of texts come last in the order; this saves pairs, and changes
+first, and only what is then still apart is compared in full (copy_roots); sketches of parities, whose popcount of
+differences is a lower bound as the segments' is, rule most pairs out in and after the join, and the rest is checked on
+the whole sets. Shingles that are frequent in a sample of texts come last in the order; this saves pairs, and changes
 none of the links. Equal sets are folded before. Texts without words have equal, empty sets.
 """
 
@@ -133,6 +133,18 @@ def sketch(g: np.ndarray) -> list[int]:
     return np.packbits((np.bincount(g & 511, minlength=512) & 1).astype(np.uint8)).view(np.int64).tolist()
 
 
+def wide_sketch(g: np.ndarray) -> bytes:
+    """As sketch(), in twice as many classes as there are shingles at least."""
+    m = max(1024, 1 << (2 * len(g)).bit_length())
+    return np.packbits((np.bincount(g & (m - 1), minlength=m) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketch_distance(x: bytes, y: bytes) -> int:
+    """Bits in which two wide sketches differ; the wider one is folded, as if it had been made in fewer classes."""
+    a, b = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    return int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)).sum())
+
+
 def _may_be_alike(a: str, b: str) -> Column:
     """Whether sizes and sketches (columns n, bits of a and b) leave room for a Jaccard of ALIKE / OF: sets that reach it differ in (OF - ALIKE) / (OF + ALIKE) of both sizes at most."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -141,7 +153,16 @@ def _may_be_alike(a: str, b: str) -> Column:
 
 
 def _verified(met: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of the pairs met (a, b: fp), those whose whole sets are alike. The two texts of a pair come together, one row of docs for each."""
+    """Of the pairs met (a, b: fp), those whose whole sets are alike. Wide sketches come together first; then, of the pairs that they leave, the two texts, one row of docs for each."""
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("n", "m", "x", "y"))
+            may = [sketch_distance(x, y) * (OF + ALIKE) <= (n + m) * (OF - ALIKE) for n, m, x, y in zip(*columns)]
+            yield batch.filter(pa.array(may, pa.bool_())).select(["a", "b"])
+
+    left, right = (sets.select(F.col("fp").alias(c), F.col("n").alias(n), F.col("wide").alias(w)) for c, n, w in (("a", "n", "x"), ("b", "m", "y")))
+    met = materialize(met.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(close, "a long, b long"), "close")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = lru_cache(maxsize=64)(shingles)  # what many are compared with
@@ -162,7 +183,7 @@ def _verified(met: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def copy_roots(sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """v, root of the components of sets that are alike. sets: fp, n, first (shingles that alike sets have one of in common), bits, h of a text.
+    """v, root of the components of sets that are alike. sets: fp, n, first (shingles that alike sets have one of in common), bits, wide, and h and doc_id (least) of a text.
 
     Sets meet at a shared shingle (one for all shingles that the same sets share), but not all pairs of them: in each round the sets at a shingle are compared with HUBS
     drawn from them, unless they are in one component already. What is left, pairs in different components of which one
@@ -221,15 +242,15 @@ def near_copies(docs: DataFrame) -> DataFrame:
                     at = np.minimum(np.searchsorted(known, g), len(known) - 1)
                     place = np.where(known[at] == g, len(known) - by[at], 0)
                 first = g[np.lexsort((g, place))[: n + (-n * ALIKE) // OF + 1]]
-                out.append((xxhash.xxh64_intdigest(g.tobytes()) - (1 << 63), n, first, sketch(g)))
-            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), *columns], ["doc_id", "h", "fp", "n", "first", "bits"])
+                out.append((xxhash.xxh64_intdigest(g.tobytes()) - (1 << 63), n, first, sketch(g), wide_sketch(g)))
+            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+            columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), *columns], ["doc_id", "h", "fp", "n", "first", "bits", "wide"])
 
-    rows = materialize(docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(work, f"doc_id {kind}, h long, fp long, n int, first array<long>, bits array<long>"), "shingles")
+    rows = materialize(docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(work, f"doc_id {kind}, h long, fp long, n int, first array<long>, bits array<long>, wide binary"), "shingles")
     first_row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"))  # stands for all rows with the set
-    folded = rows.groupBy("fp").agg(first_row.alias("row"), *[F.first(c).alias(c) for c in ("n", "first", "bits")])
-    sets = materialize(folded.select("fp", F.col("row.doc_id").alias("least"), F.col("row.h").alias("h"), "n", "first", "bits"), "distinct")
+    folded = rows.groupBy("fp").agg(first_row.alias("row"), *[F.first(c).alias(c) for c in ("n", "first", "bits", "wide")])
+    sets = materialize(folded.select("fp", F.col("row.doc_id").alias("least"), F.col("row.h").alias("h"), "n", "first", "bits", "wide"), "distinct")
     roots = copy_roots(sets, docs)
     rooted = sets.select("fp", "least").join(roots.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
