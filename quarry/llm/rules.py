@@ -1,12 +1,13 @@
 """Quality rules as a short-circuit cascade (DataFrame expressions only).
 
-A rule is an expression over statistics of a text. `plan_cascade` counts what each rule rejects on the first rows that
-are at hand, and times it together with the statistics that it needs; it orders the rules by rejection per cost.
+A rule is an expression over statistics of a text. `plan_cascade` counts what each rule rejects on a sample of all rows,
+and times it together with the statistics that it needs; it orders the rules by rejection per cost.
 `cascade_verdict` is the nested conditional in that order: a rule runs only where all rules before it let the row pass.
 Over columns of statistics (`quality_rules`) it decides alone; over a text (`verdict_of`) a statistic is not computed
 either where an earlier rule rejects. The order never changes the verdict, only its cost.
 
-Null texts have no words and count as empty; empty texts fail the word minimum; repeated rows are judged one by one;
+Null texts have no words and count as empty; empty texts fail the word minimum; texts are judged whole, whatever their
+length; repeated rows are judged one by one; rules that tie in rejection per cost keep the order in which they are given;
 extra columns pass through, unless a column has the name of a statistic, which is then replaced. An empty table gives
 an empty result.
 """
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quarry.llm.common import SPACE, documents
+from quarry.llm.common import SPACE, documents, materialize
 
 #: Words of a window, and windows that repeat within a text.
 WINDOW = 8
@@ -132,24 +133,26 @@ def production_rules() -> list[Rule]:
 def plan_cascade(docs: DataFrame, rules: list[Rule], sample_rows: int = 500, repeats: int = 2, text: str = "text") -> list[dict]:
     """Rules in the order of rejection per cost, each with its cost (seconds over the sample, its statistics included) and selectivity.
 
-    The sample is what the first partitions give until sample_rows rows are found; only flags come to the driver. It
+    The sample is drawn from all rows, about sample_rows of them, and written once; only sums come to the driver. It
     decides on the order alone, never on a verdict. On an empty sample the given order stays.
     """
+    n = docs.count()
+    some = materialize(docs.select(text).sample(min(1.0, sample_rows / max(n, 1)), seed=42).coalesce(1), "sample")
     rejected = lambda r: verdict_of(text, lambda of: F.coalesce(r.rejects(of), F.lit(False))).cast("int")
 
     def seconds(column: Column) -> float:
         best = float("inf")
         for _ in range(repeats):
             began = time.perf_counter()
-            docs.select(column).take(sample_rows)
+            some.agg(F.sum(column)).first()
             best = min(best, time.perf_counter() - began)
         return best
 
-    flags = docs.select(*[rejected(r).alias(f"r{k}") for k, r in enumerate(rules)]).take(sample_rows)
-    if not flags:
+    flags = some.agg(F.count("*"), *[F.sum(rejected(r)) for r in rules]).first()
+    if not flags[0]:
         return [{"rule": r, "cost": 0.0, "rejected": 0.0} for r in rules]
-    least = seconds(verdict_of(text, lambda of: F.lit(True)))  # reading, and cutting into words
-    found = [{"rule": r, "cost": max(seconds(rejected(r)) - least, 1e-3), "rejected": sum(x[k] for x in flags) / len(flags)} for k, r in enumerate(rules)]
+    least = seconds(verdict_of(text, lambda of: F.lit(1)))  # reading, and cutting into words
+    found = [{"rule": r, "cost": max(seconds(rejected(r)) - least, 1e-3), "rejected": x / flags[0]} for r, x in zip(rules, flags[1:])]
     return sorted(found, key=lambda x: -x["rejected"] / x["cost"])
 
 
