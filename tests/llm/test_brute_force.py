@@ -144,6 +144,17 @@ def test_simhash_stage_finds_all_pairs_of_jaccard_08(spark, docs, monkeypatch, f
     assert sorted(r["doc_id"] for r in simhash.stage(spark, held, "").collect()) == sorted(set(roots.values()))
 
 
+def test_sketches_are_lower_bounds():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        pool = np.unique(rng.integers(-(2**63), 2**63 - 1, rng.integers(1, 3000)))
+        a, b = (np.sort(pool[rng.random(len(pool)) < rng.uniform(0.5, 1)]) for _ in range(2))
+        differ = len(np.setxor1d(a, b))
+        assert simhash.sketch_distance(simhash.wide_sketch(a), simhash.wide_sketch(b)) <= differ
+        assert sum((x ^ y).bit_count() for x, y in zip(*(np.array(simhash.sketch(x)).view(np.uint64).tolist() for x in (a, b)))) <= differ
+    assert simhash.sketch_distance(simhash.wide_sketch(a), simhash.wide_sketch(a)) == 0
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(30)] + [(100, 50), (100, 60), (60, 40), (7, 7)]
     got = {r["v"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
