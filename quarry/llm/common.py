@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import gc
-import tempfile
 import time
 import uuid
 from collections.abc import Iterator
@@ -14,22 +13,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from quarry.sources.shared import shared_dir
+
 #: ASCII white space, the only separators of words in these operators.
 SPACE = r"[\x20\x09-\x0D]+"
 
 _written: list[tuple[SparkSession, str]] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir of the session; a temporary one only where it is unset (local runs)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='quarry-shared-')}"
-        spark.sparkContext.setCheckpointDir(path)
-        path = spark.sparkContext.getCheckpointDir()
-    return path.rstrip("/")
-
-
 def _drop(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
