@@ -37,13 +37,18 @@ def nmi(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return both.select(F.when((F.col("ha") == 0) & (F.col("hb") == 0), 1.0).when(F.col("mi") <= 0, 0.0).otherwise(F.col("mi") / ((F.col("ha") + F.col("hb")) / 2)).alias("nmi"))
 
 
+def supported(docs: DataFrame, min_docs: int = 5) -> DataFrame:
+    """label, m of the clusters of min_docs documents or more (noise is none)."""
+    return docs.where("label >= 0" if docs.schema["label"].dataType.typeName() != "string" else "label IS NOT NULL").groupBy("label").agg(F.count("*").alias("m")).where(F.col("m") >= min_docs)
+
+
 def coherence(docs: DataFrame, top: int = 10, min_docs: int = 5, min_df: int = 2, features: int = 20_000) -> DataFrame:
     """label, npmi: mean normalised pointwise mutual information of the pairs of each cluster's top terms that occur together. docs: id (unique), label, text. Of a label at most top terms go on, so a document makes few pairs."""
     n = docs.count()
     terms = materialize(docs.select("id", "label", F.explode(t.sparse_tokens("text")).alias("term")).where(F.char_length("term") >= 2).groupBy("id", "label", "term").agg(F.count("*").alias("tf")), "terms")
     counted = terms.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).where(F.col("df") >= min_df)
     vocabulary = counted.orderBy(F.desc("total"), "term").limit(features).select("term", "df")
-    large = docs.groupBy("label").agg(F.count("*").alias("m")).where(F.col("m") >= min_docs).select("label")
+    large = supported(docs, min_docs).select("label")
     per = terms.groupBy("label", "term").agg(F.sum("tf").alias("c")).join(large, "label").join(vocabulary, "term")
     best = materialize(per.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("c"), "term"))).where(F.col("r") <= top).select("label", "term", "df"), "best")
     # pairs are made within each document, of the few chosen terms that it has, and counted where they are made

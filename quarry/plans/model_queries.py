@@ -10,6 +10,7 @@ from quarry.operators.papers import DATED_SQL, PAPERS_SQL, dated, papers, table
 from quarry.plans import text_queries as q
 from quarry.plans.registry import query
 from quarry.plans.split_queries import split_sql
+from quarry.sources.shared import materialize
 
 DIM = 64
 VECTORS = "SELECT CAST(vec_id AS VARCHAR) AS id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings"
@@ -162,7 +163,7 @@ support AS (SELECT label, count(*) AS weight FROM sv WHERE split = 'test' GROUP
 def split_vectors(spark, d):
     from quarry.operators.splits import stratified_split
 
-    return stratified_split(vecs(spark, d), "label")
+    return materialize(stratified_split(vecs(spark, d), "label"), "split")  # read several times
 
 
 def hits(spark, d):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import text as t
-from quarry.operators import clean, report, splits, vectors
+from quarry.operators import clean, metrics, report, splits, vectors
 from quarry.operators.papers import PAPERS_SQL, papers, table
 from quarry.plans import text_queries as q
 from quarry.plans.model_queries import DIM, VECTORS, split_vectors
@@ -38,6 +38,21 @@ def csv(spark, d):
     return records.read_csv(spark, path, "n_nationkey int, n_name string")
 
 
+@query("a14_arrays", "SELECT vec_id, len(embedding) AS n, round(list_sum(CAST(embedding AS DOUBLE[])), 5) AS total FROM embeddings")
+def arrays(spark, d):
+    """Vectors written as float arrays, and read back in their order."""
+    path = scratch(spark, "arrays")
+    records.write_parquet(table(spark, d, "embeddings").select("vec_id", "embedding"), path)
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return spark.read.parquet(path).select("vec_id", F.size("embedding").cast("long").alias("n"), F.round(total, 5).alias("total"))
+
+
+@query("c9_supported_clusters", "SELECT label, count(*) AS m FROM embeddings WHERE label >= 3 GROUP BY 1 HAVING count(*) >= 50")
+def supported_clusters(spark, d):
+    labels = table(spark, d, "embeddings").select(F.when(F.col("label") < 3, -1).otherwise(F.col("label")).alias("label"))
+    return metrics.supported(labels, 50)
+
+
 @query("k4_best_config", """WITH s AS (SELECT p_brand AS stage, p_size AS setting, p_retailprice AS score FROM part WHERE p_partkey % 2 = 0),
 f AS (SELECT p_brand AS stage, p_size AS setting, p_retailprice AS score FROM part WHERE p_partkey % 2 = 1),
 b AS (SELECT stage, setting, max(score) AS score FROM f GROUP BY 1, 2 UNION ALL SELECT stage, setting, max(score) FROM s WHERE (stage, setting) NOT IN (SELECT (stage, setting) FROM f) GROUP BY 1, 2)
