@@ -137,7 +137,7 @@ def plan_cascade(docs: DataFrame, rules: list[Rule], sample_rows: int = 500, rep
     decides on the order alone, never on a verdict. On an empty sample the given order stays.
     """
     n = docs.count()
-    some = materialize(docs.select(text).sample(min(1.0, sample_rows / max(n, 1)), seed=42).coalesce(1), "sample")
+    some = materialize(docs.select(text).sample(min(1.0, sample_rows / max(n, 1)), seed=42).repartition(1), "sample")
     rejected = lambda r: verdict_of(text, lambda of: F.coalesce(r.rejects(of), F.lit(False))).cast("int")
 
     def seconds(column: Column) -> float:
