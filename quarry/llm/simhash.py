@@ -46,6 +46,8 @@ _SAMPLE, _FREQUENT, _MOST = 10_000, 3, 250_000
 _ASKED = 200_000
 #: Sets that those at a shingle are compared with in a round, and rounds before all that is left is compared.
 HUBS, ROUNDS = 3, 2
+#: Shingles of its own that a set brings along, the smallest, so that a pair is compared at the first of these that it shares.
+_OWN = 32
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> bytes:
@@ -218,9 +220,13 @@ def copy_roots(sets: DataFrame, docs: DataFrame) -> DataFrame:
         joined(a.where((F.col("a.label") != F.col("b.label")) & _may_be_alike("a", "b")))
     now = materialize(labelled(), "labelled")
     largest = now.groupBy("g", "label").agg(F.count("*").alias("c")).groupBy("g").agg(F.max_by("label", "c").alias("main"), F.count("*").alias("c")).where("c > 1").select("g", "main")
-    apart = materialize(now.join(largest, "g"), "apart")
+    met_apart = materialize(now.join(largest, "g"), "met-apart")
+    own = met_apart.groupBy("fp").agg(F.slice(F.sort_array(F.collect_set("g")), 1, _OWN).alias("gs"))
+    apart = materialize(met_apart.join(own, "fp"), "apart")
     a, b = apart.alias("a"), apart.where("label <> main").alias("b")
-    joined(a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.label") != F.col("b.label")) & _may_be_alike("a", "b")))
+    # a pair that is known to meet at a smaller shingle is compared there
+    once = F.coalesce(F.array_min(F.array_intersect("a.gs", "b.gs")) >= F.col("a.g"), F.lit(True))
+    joined(a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.label") != F.col("b.label")) & _may_be_alike("a", "b") & once))
     return roots
 
 
