@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm.common import documents, slices
+from quarry.llm.common import documents, slices, trim
 
 VOCABULARY = "word_bpe_49k.json"
 #: Bytes of text that are encoded together, and chunks that a worker remembers.
@@ -307,6 +307,7 @@ def encoded_batches(batches: Iterator[pa.RecordBatch], path: str | None, text: s
     e = encoder(path)
     for rows in slices(batches, text, BATCH_BYTES):
         yield rows, e.encode([t or "" for t in rows.column(text).to_pylist()])
+    trim()
 
 
 def encode(docs: DataFrame, path: str | None = None, decode: bool = False) -> DataFrame:
