@@ -92,7 +92,8 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         steps = [1 << (3 * j + _WIDTH * (last - first)) for j in range(len(outside))]
         keys += [cell, *[cell + x for x in steps], *[cell - x for x in steps]]
     cells = distinct.select("fp", *cells).select("fp", F.explode(F.array(*keys)).alias("c"))
-    a, b = cells.alias("a"), cells.alias("b")
+    # cells are 67 times as many rows as the planner reckons with: by its estimate it would broadcast them
+    a, b = cells.hint("merge").alias("a"), cells.hint("merge").alias("b")
     close = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_bits
     return a.join(b, (F.col("a.c") == F.col("b.c")) & (F.col("a.fp") < F.col("b.fp")) & close).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
@@ -101,7 +102,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     """doc_id, h, fp, component_id (smallest doc_id reachable over links) of each row."""
     rows = materialize(fingerprints(docs, shingle), "simhash")
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(distinct, max_bits))
+    roots = components(materialize(links(distinct, max_bits), "links"))
     rooted = distinct.join(roots.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.join(rooted.join(ids, "root").select("fp", "component_id"), "fp")

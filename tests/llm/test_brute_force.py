@@ -108,6 +108,13 @@ def test_simhash_links_of_close_fingerprints(spark):
     assert got == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 2}
 
 
+def test_simhash_cells_are_never_broadcast(spark, tmp_path):
+    """A file of fingerprints is far below the planner's threshold, the cells made of it are not."""
+    spark.range(100).selectExpr("xxhash64(id) fp").write.parquet(f"{tmp_path}/prints")
+    plan = simhash.links(spark.read.parquet(f"{tmp_path}/prints"))._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def five_words(text):
     w = words(text)
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
