@@ -255,7 +255,7 @@ def order_weights(codes: np.ndarray, n: np.ndarray, rounds: int = 50) -> np.ndar
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row."""
     held = materialize(blocks(docs), "blocks")
-    counted = materialize(corpus_counts(held), "counts")
+    counted = materialize(corpus_counts(held), "counts", drop=True)
     release(docs.sparkSession)
     none = F.lit(0).cast("long")
     sums = counted.where("block IS NULL").agg(*[F.coalesce(F.sum(c), none).alias(c) for c in ("n_main", "n_held", "n_types")]).first()
@@ -296,7 +296,7 @@ def score(docs: DataFrame) -> DataFrame:
 
     back = counted.where("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("slot", "main", "held")).alias("got"))
     joined = held.join(back, "block").select("doc_ids", "words", "folds", "n_tokens", "tokens", "got")
-    linked = materialize(joined.mapInArrow(link, f"doc_ids array<{kind}>, folds array<int>, n_tokens array<int>, end long, counts array<binary>, left_out array<binary>"), "linked")
+    linked = materialize(joined.mapInArrow(link, f"doc_ids array<{kind}>, folds array<int>, n_tokens array<int>, end long, counts array<binary>, left_out array<binary>"), "linked", drop=True)
 
     weights: list[np.ndarray] = []
     for order in range(3):  # from the lowest up: each is learned over what those below give

@@ -6,6 +6,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -606,6 +607,27 @@ def test_lm(spark, sf_dir, docs):
     assert sum(r["score"] for r in got if r["held_out"]) > sum(r["base_score"] for r in got if r["held_out"])
 
 
+def test_lm_drops_shuffle_files_before_the_next_exchange(spark, sf_dir, monkeypatch):
+    """The files of the first exchange go as its counts are written, though nothing collects garbage."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def held():
+        files = disk.getAllFiles()
+        return {name for k in range(files.size()) if (name := files.apply(k).getName()).startswith("shuffle_")}
+
+    before, left = held(), []
+
+    def release(_):
+        end = time.time() + 10
+        while held() - before and time.time() < end:
+            time.sleep(0.1)
+        left.append(held() - before)
+
+    monkeypatch.setattr(lm, "release", release)
+    assert lm.score(common.documents(spark, sf_dir)).count() > 0
+    assert left == [set()]
+
+
 def test_lm_is_a_distribution():
     rng = np.random.default_rng(1)
     triples = rng.integers(0, 50, (9, 9, 9)) * rng.integers(0, 2, (9, 9, 9))
