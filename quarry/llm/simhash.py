@@ -12,7 +12,8 @@ one shingle. Repeated rows share a component. Extra columns are not read. An emp
 is never a component's id while the component has another.
 
 The pipeline's stage does not link by bits: texts whose sets of 5-word shingles have a Jaccard of 0.8 or more mostly
-differ in more than 2. near_copies() links exactly these. In any order of all shingles two such sets share one of their
+differ in more than 2. near_copies() links exactly these. It takes the fingerprints of these sets through the same grid
+and compares the sets that it joins first. Pairs that differ in more bits have an exact way of their own: in any order of all shingles two such sets share one of their
 first n - ceil(0.8 n) + 1, so each set is sent once for each of these. Those that meet are linked over a few of them
 first, and only what is then still apart is compared in full (copy_roots); sketches of parities, whose popcount of
 differences is a lower bound as the segments' is, rule most pairs out in and after the join, and the rest is checked on
@@ -57,7 +58,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> bytes:
         return bytes(8)
     grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
     digest, seed = xxhash.xxh64_digest, SEED
-    held = np.frombuffer(b"".join([digest(g, seed) for g in grams]), np.uint8).reshape(-1, 8)
+    return majority(np.frombuffer(b"".join([digest(g, seed) for g in grams]), np.uint8).reshape(-1, 8))
+
+
+def majority(held: np.ndarray) -> bytes:
+    """The bits that over half the hashes have set; held: a row of 8 bytes a hash."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(held), _BLOCK):
         counts += np.unpackbits(held[at : at + _BLOCK], axis=1).sum(axis=0, dtype=np.int64)
@@ -185,10 +190,20 @@ def _verified(met: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     return both.mapInArrow(work, "a long, b long")
 
 
+def print_pairs(sets: DataFrame) -> DataFrame:
+    """a < b: sets (fp) to compare, by their fingerprints (print): each with the first that has the same one, and the first sets of fingerprints that links() finds, each with the least it is linked to."""
+    first = materialize(sets.groupBy("print").agg(F.min("fp").alias("head")), "prints")
+    same = sets.join(first, "print").where("fp <> head").select(F.col("head").alias("a"), F.col("fp").alias("b"))
+    near = materialize(links(first.select(F.col("print").alias("fp"))), "print-links").groupBy("b").agg(F.min("a").alias("a"))
+    head = lambda c: first.select(F.col("print").alias(c), F.col("head").alias(f"{c}_head"))
+    near = near.join(head("a"), "a").join(head("b"), "b").select(F.least("a_head", "b_head").alias("a"), F.greatest("a_head", "b_head").alias("b"))
+    return same.union(near)
+
+
 def copy_roots(sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """v, root of the components of sets that are alike. sets: fp, n, first (shingles that alike sets have one of in common), bits, wide, and h and doc_id (least) of a text.
+    """v, root of the components of sets that are alike. sets: fp, n, first (shingles that alike sets have one of in common), bits, wide, print, and h and doc_id (least) of a text.
 
-    Sets meet at a shared shingle (one for all shingles that the same sets share), but not all pairs of them: in each round the sets at a shingle are compared with HUBS
+    Sets whose fingerprints the grid joins are compared first, and linked if alike. The exact way for what is still apart: sets meet at a shared shingle (one for all shingles that the same sets share), but not all pairs of them: in each round the sets at a shingle are compared with HUBS
     drawn from them, unless they are in one component already. What is left, pairs in different components of which one
     is outside the shingle's largest, is then compared in full. So a group of copies costs a few comparisons a member,
     and no link that would join two components is lost.
@@ -199,19 +214,23 @@ def copy_roots(sets: DataFrame, docs: DataFrame) -> DataFrame:
     same = met_at.groupBy("g").agg(F.count("*").alias("_c"), F.bit_xor(F.xxhash64("fp")).alias("_x")).groupBy("_c", "_x").agg(F.min("g").alias("g")).select("g")
     release(docs.sparkSession)
     groups = materialize(met_at.join(same, "g").join(sets.select("fp", "n", "bits"), "fp").select("g", "fp", "n", "bits"), "groups")
-    links, roots = None, None
+    found, roots = None, None
 
     def labelled() -> DataFrame:
         if roots is None:
             return groups.withColumn("label", F.col("fp"))
         return groups.join(roots.withColumnRenamed("v", "fp"), "fp", "left").select(*groups.columns, F.coalesce("root", "fp").alias("label"))
 
+    def compared(pairs: DataFrame) -> None:
+        nonlocal found, roots
+        alike = settle(lambda: _verified(materialize(pairs, "met"), sets, docs), "links")
+        found = alike if found is None else found.union(alike)
+        roots = components(found)
+
     def joined(met: DataFrame) -> None:
-        nonlocal links, roots
-        pairs = met.select(F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b")).distinct()
-        found = settle(lambda: _verified(materialize(pairs, "met"), sets, docs), "links")
-        links = found if links is None else links.union(found)
-        roots = components(links)
+        compared(met.select(F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b")).distinct())
+
+    compared(settle(lambda: print_pairs(sets), "print-pairs"))
 
     for turn in range(ROUNDS):
         now = materialize(labelled(), "labelled")
@@ -249,15 +268,16 @@ def near_copies(docs: DataFrame) -> DataFrame:
                     at = np.minimum(np.searchsorted(known, g), len(known) - 1)
                     place = np.where(known[at] == g, len(known) - by[at], 0)
                 first = g[np.lexsort((g, place))[: n + (-n * ALIKE) // OF + 1]]
-                out.append((xxhash.xxh64_intdigest(g.tobytes()) - (1 << 63), n, first, sketch(g), wide_sketch(g)))
-            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
-            columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), *columns], ["doc_id", "h", "fp", "n", "first", "bits", "wide"])
+                own = int.from_bytes(majority(g.view(np.uint8).reshape(-1, 8)), "big", signed=True)
+                out.append((xxhash.xxh64_intdigest(g.tobytes()) - (1 << 63), n, first, sketch(g), wide_sketch(g), own))
+            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.int64())
+            columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), *columns], ["doc_id", "h", "fp", "n", "first", "bits", "wide", "print"])
 
-    rows = materialize(docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(work, f"doc_id {kind}, h long, fp long, n int, first array<long>, bits array<long>, wide binary"), "shingles")
+    rows = materialize(docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(work, f"doc_id {kind}, h long, fp long, n int, first array<long>, bits array<long>, wide binary, print long"), "shingles")
     first_row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"))  # stands for all rows with the set
-    folded = rows.groupBy("fp").agg(first_row.alias("row"), *[F.first(c).alias(c) for c in ("n", "first", "bits", "wide")])
-    sets = materialize(folded.select("fp", F.col("row.doc_id").alias("least"), F.col("row.h").alias("h"), "n", "first", "bits", "wide"), "distinct")
+    folded = rows.groupBy("fp").agg(first_row.alias("row"), *[F.first(c).alias(c) for c in ("n", "first", "bits", "wide", "print")])
+    sets = materialize(folded.select("fp", F.col("row.doc_id").alias("least"), F.col("row.h").alias("h"), "n", "first", "bits", "wide", "print"), "distinct")
     roots = copy_roots(sets, docs)
     rooted = sets.select("fp", "least").join(roots.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -152,6 +152,26 @@ def test_simhash_stage_finds_all_pairs_of_jaccard_08(spark, docs, monkeypatch, f
     assert sorted(r["doc_id"] for r in simhash.stage(spark, held, "").collect()) == sorted(set(roots.values()))
 
 
+def test_simhash_stage_takes_fingerprints_through_the_grid(spark, docs, monkeypatch):
+    """The stage's links within 2 bits come from the same grid join as op3's: each fingerprint of its sets goes through it."""
+    joined, links = [], simhash.links
+
+    def noted(distinct, *args):
+        joined.extend(r["fp"] for r in distinct.collect())
+        return links(distinct, *args)
+
+    monkeypatch.setattr(simhash, "links", noted)
+    simhash.near_copies(frame(spark, docs[:200], extra=False)).count()
+
+    def majority(g):
+        h = [int(x) & (2**64 - 1) for x in g]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    # the bytes of a hash are read lowest first
+    prints = {int.from_bytes(majority(simhash.shingles(t)).to_bytes(8, "little"), "big", signed=True) for _, t in docs[:200]}
+    assert sorted(joined) == sorted(prints)
+
+
 def test_sketches_are_lower_bounds():
     rng = np.random.default_rng(4)
     for _ in range(200):
