@@ -27,7 +27,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm.common import documents, materialize, partitions, release, slices
+from quarry.llm.common import documents, materialize, partitions, slices
 
 LOW, HIGH, FEW = 1e-3, 0.05, 8
 #: Sub-lexicons of each share, and shares: 4**-1 to 4**-SHARES.
@@ -60,7 +60,8 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> np.ndarray
 
     n = docs.count()
     counted = docs.select("text").mapInArrow(work, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
-    band = counted.where((F.col("df") >= low * n) & (F.col("df") <= max(high * n, 1))).select("term")
+    within = counted.where((F.col("df") >= low * n) & (F.col("df") <= max(high * n, 1))).select("term")
+    band = materialize(within, "lexicon", drop=True)  # the counts' shuffle goes before the texts move
     return np.sort(np.array([r["term"] for r in band.collect()], np.int64).view(np.uint64))
 
 
@@ -138,7 +139,6 @@ def compare_with_next(docs: DataFrame, low: float = LOW, high: float = HIGH) ->
     """
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(lexicon(docs, low, high))
-    release(spark)  # the counts' shuffle goes before the texts move
     kind = docs.schema["doc_id"].dataType.simpleString()
     columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -162,7 +162,7 @@ def compare_with_next(docs: DataFrame, low: float = LOW, high: float = HIGH) ->
         if last is not None:
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((None,) * 7 + (part, "last", last[0]), types)], [*columns, "part", "edge", "text"])
 
-    found = materialize(in_order(docs).mapInArrow(work, f"{schema}, part int, edge string, text string"), "imatch")
+    found = materialize(in_order(docs).mapInArrow(work, f"{schema}, part int, edge string, text string"), "imatch", drop=True)
     edges = found.where("edge IS NOT NULL").select("doc_id", "part", "edge", "text")
     parts = [r["part"] for r in edges.where("edge = 'last'").select("part").orderBy("part").collect()]  # one number a partition
     before = dict(zip(parts, [parts[-1], *parts[:-1]])) if parts else {}

@@ -424,6 +424,26 @@ def test_imatch_lexicon(spark):
     assert imatch.lexicon(rows, 0.02, 0.05).tolist() == [xxhash.xxh64_intdigest(b"pair")]
 
 
+def test_imatch_drops_shuffle_files_as_each_exchange_ends(spark, sf_dir):
+    """Neither the counts of the terms nor the texts stay on disk as shuffle files, though nothing collects garbage."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def held():
+        files = disk.getAllFiles()
+        return {(f.getName(), f.length()) for k in range(files.size()) if (f := files.apply(k)).getName().startswith("shuffle_")}
+
+    def left(before):
+        """Bytes, once they are as few as a count of rows leaves, or after 10 seconds."""
+        end = time.time() + 10
+        while (n := sum(size for _, size in held() - before)) > 5000 and time.time() < end:
+            time.sleep(0.1)
+        return n
+
+    documents, before = common.documents(spark, sf_dir), held()
+    assert len(imatch.lexicon(documents)) and left(before) <= 5000
+    assert imatch.compare_with_next(documents).columns and left(before) <= 5000
+
+
 def test_bpe_equals_the_library(spark, sf_dir, docs, library):
     got = by_id(bpe.op6_bpe(spark, sf_dir))
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
