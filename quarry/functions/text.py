@@ -104,8 +104,21 @@ def month_key(created: Column | str) -> Column:
 
 
 def sparse_tokens(x: Column | str) -> Column:
-    clean = F.regexp_replace(F.lower(strip_latex(x)), rf"[^{WORD}\t-\r\x1c-\x20\x85\p{{Z}}]", " ")
-    return F.filter(F.split(clean, SPACE + "+"), lambda t: (t != "") & ~t.isin(*STOP_WORDS))
+    """Words of the text without LaTeX. What only joins or trims white space is left out: words are cut at all that is no WORD."""
+    out = F.coalesce(_c(x), F.lit(""))
+    for pattern in (ENVIRONMENT, MATH, COMMAND):
+        out = F.regexp_replace(out, pattern, " ")
+    return F.filter(F.split(F.lower(out), rf"[^{WORD}]+"), lambda t: (t != "") & ~t.isin(*STOP_WORDS))
+
+
+def counted(tokens: Column) -> Column:
+    """Array of (term, tf) of an array of tokens, sorted by term: ends of runs in the sorted array."""
+
+    def runs(s: Column) -> Column:
+        ends = F.filter(F.transform(s, lambda _, i: i + 1), lambda i: ~F.get(s, i).eqNullSafe(F.get(s, i - 1)))
+        return F.get(F.transform(F.array(ends), lambda e: F.transform(e, lambda i, k: F.struct(F.get(s, i - 1).alias("term"), (i - F.coalesce(F.get(e, k - 1), F.lit(0))).alias("tf")))), 0)
+
+    return F.get(F.transform(F.array(F.sort_array(tokens)), runs), 0)  # each array is bound to a variable, so it is made once a row
 
 
 def sparse_clean(x: Column | str) -> Column:

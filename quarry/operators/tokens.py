@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from quarry.functions import text as t
 from quarry.functions.stopwords import STOP_WORDS
+from quarry.operators.vectors import small
 from quarry.sources.shared import materialize
 
 CONFIGURATIONS = {"raw": t.raw_tokens, "plain": t.plain_tokens, "content": t.content_tokens}
@@ -39,18 +40,23 @@ def vocabulary_metrics(counts: DataFrame, frequent: int = 1000) -> DataFrame:
     )
 
 
-def tfidf(records: DataFrame, fit: DataFrame | None = None, min_df: int = 2, max_features: int = 50_000) -> DataFrame:
-    """id, term, weight in long form: 1 + ln tf, smoothed idf plus one, rows of unit length. Vocabulary and idf come from fit (records by default)."""
+def term_counts(records: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, terms (array of term, tf) of words of two characters or more. Terms are counted within their row; only rows of an id that occurs again are brought together before."""
+    found = records.select(*keys, F.filter(t.sparse_tokens("text"), lambda w: F.char_length(w) >= 2).alias("tokens"))
+    rows, ids = records.agg(F.count("*"), F.count_distinct(keys[0])).first()
+    if rows != ids:
+        found = found.groupBy(*keys).agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
+    return materialize(found.select(*keys, t.counted(F.col("tokens")).alias("terms")), "terms")
 
-    def terms(rows: DataFrame) -> DataFrame:
-        tokens = F.filter(t.sparse_tokens("text"), lambda w: F.char_length(w) >= 2)
-        return materialize(rows.select("id", F.explode(tokens).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf")), "terms")
 
+def tfidf(records: DataFrame, fit: DataFrame | None = None, min_df: int = 2, max_features: int = 50_000) -> DataFrame:
+    """id, term, weight in long form: 1 + ln tf, smoothed idf plus one, rows of unit length. Vocabulary and idf come from fit (records by default)."""
+    terms = lambda rows: term_counts(rows, ["id"]).select("id", F.explode("terms").alias("x")).select("id", "x.term", "x.tf")
     base = records if fit is None else fit
     n, own = base.count(), terms(records)
     seen = (own if fit is None else terms(fit)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= min_df)
     vocabulary = seen.orderBy(F.desc("total"), "term").limit(max_features)
-    idf = vocabulary.select("term", (F.log((1.0 + F.lit(n)) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    weighted = own.join(idf, "term").select("id", "term", ((1.0 + F.log("tf")) * F.col("idf")).alias("w"))
+    idf = materialize(vocabulary.select("term", (F.log((1.0 + F.lit(n)) / (1.0 + F.col("df"))) + 1.0).alias("idf")), "idf")
+    weighted = own.join(small(idf), "term").select("id", "term", ((1.0 + F.log("tf")) * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
     return weighted.select("id", "term", (F.col("w") / norm).alias("weight"))

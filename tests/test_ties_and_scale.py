@@ -25,3 +25,39 @@ def test_first_by_id_takes_the_first_row_of_a_tie(spark, tmp_path):
     files = [[(k % 50, 1 + k // 250, (k * 37 + f) % 101, 1) for k in range(500)] for f in (1, 0)] + [[(90, None, 1, 1), (90, 2, 2, 1), (91, None, 3, 1), (None, 1, 8, 1), (None, 1, 4, 1)]]
     con = lineitem(spark, tmp_path, files)
     assert_same(spark, con, str(tmp_path), QUERIES["d1_first_by_id"], SQL["d1_first_by_id"])
+
+
+def jobs(spark, run):
+    """Jobs that run starts."""
+    spark.sparkContext.setJobGroup(run.__name__, "")
+    try:
+        run()
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(run.__name__))
+
+
+def test_singular_vectors_take_one_pass(spark):
+    import numpy as np
+
+    from quarry.operators import vectors
+
+    x = np.random.default_rng(3).normal(size=(300, 120)) * (np.random.default_rng(4).random((300, 120)) < 0.3) * np.linspace(1, 3, 120)
+    long = spark.createDataFrame([(int(i), int(j), float(x[i, j])) for i, j in zip(*np.nonzero(x), strict=True)], "id long, column long, weight double")
+    got = {}
+
+    def projection():
+        got.update((r["id"], r["embedding"]) for r in vectors.singular_vectors(long, 6).collect())
+
+    assert jobs(spark, projection) < 25
+    p, (u, s, _) = np.array([got[i] for i in range(300)]), np.linalg.svd(x, full_matrices=False)
+    assert np.abs(p) == pytest.approx(np.abs(u[:, :6] * s[:6]), abs=1e-8)
+
+
+def test_tfidf_of_an_id_that_occurs_again(spark):
+    from quarry.operators import tokens
+
+    rows = [("1", "red cat red"), ("2", "cat $x red$ dog"), ("1", "red dog"), (None, "dog"), (None, r"\emph{cat} dog"), ("4", None)]
+    got = {(r["id"], r["term"]): r["weight"] for r in tokens.tfidf(spark.createDataFrame(rows, "id string, text string"), min_df=1).collect()}
+    assert set(got) == {("1", "red"), ("1", "cat"), ("1", "dog"), ("2", "cat"), ("2", "dog"), (None, "dog")}
+    assert got[("1", "red")] > got[("1", "cat")] and got[(None, "dog")] == 1
