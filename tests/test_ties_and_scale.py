@@ -61,3 +61,17 @@ def test_tfidf_of_an_id_that_occurs_again(spark):
     got = {(r["id"], r["term"]): r["weight"] for r in tokens.tfidf(spark.createDataFrame(rows, "id string, text string"), min_df=1).collect()}
     assert set(got) == {("1", "red"), ("1", "cat"), ("1", "dog"), ("2", "cat"), ("2", "dog"), (None, "dog")}
     assert got[("1", "red")] > got[("1", "cat")] and got[(None, "dog")] == 1
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_of_suppliers_are_made_within_their_order(spark, tmp_path, monkeypatch):
+    from quarry.plans import model_queries
+
+    con = lineitem(spark, tmp_path, [[(k % 40, 1, 1, (k * k) % 17) for k in range(300)], [(7, 1, 1, None), (None, 1, 1, 2), (None, 1, 1, 3), (99, 1, 1, 5), (99, 1, 1, 5)], [(500, 1, 1, k) for k in range(150)]])
+    assert "Join" not in plan(QUERIES["h13_pair_cooccurrence"](spark, str(tmp_path)))
+    for rows in (500_000, 20):
+        monkeypatch.setattr(model_queries, "PAIR_ROWS", rows)
+        assert_same(spark, con, str(tmp_path), QUERIES["h13_pair_cooccurrence"], SQL["h13_pair_cooccurrence"])
