@@ -75,3 +75,66 @@ def test_pairs_of_suppliers_are_made_within_their_order(spark, tmp_path, monkeyp
     for rows in (500_000, 20):
         monkeypatch.setattr(model_queries, "PAIR_ROWS", rows)
         assert_same(spark, con, str(tmp_path), QUERIES["h13_pair_cooccurrence"], SQL["h13_pair_cooccurrence"])
+
+
+def test_content_tokens_are_read_off_the_plain_ones(spark):
+    from quarry.functions import text as t
+    from quarry.functions.stopwords import STOP_WORDS
+    from quarry.operators import tokens
+
+    rows = spark.createDataFrame([("The KKelvin, the-dog", "A_b 'x' $5.0\n\tthe"), (None, "..."), ("", None)], "title string, abstract string")
+    counts = tokens.token_counts(rows)
+    assert plan(counts).count("regexp") == 0  # cut at what is between tokens, once for both plain and content
+    source = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit("")))
+    want = {}
+    for k, f in (("raw", t.raw_tokens), ("plain", t.plain_tokens), ("content", t.content_tokens)):
+        for r in rows.select(F.explode(f(source)).alias("w")).collect():
+            want[k, r["w"]] = want.get((k, r["w"]), 0) + 1
+    assert {(r["configuration"], r["token"]): r["n"] for r in counts.collect()} == want and ("content", "the") not in want and "the" in STOP_WORDS
+
+
+def test_coherence_does_not_exchange_documents(spark):
+    from quarry.operators import metrics
+
+    rows = [(str(k), f"c{k % 3}", f"w{k % 5} w{k % 7} shared w{k % 2}") for k in range(60)] + [("60", None, "shared w1"), ("61", "small", "w1 w2")]
+    found = metrics.coherence(spark.createDataFrame(rows, "id string, label string, text string"), top=4)
+    assert "collect_list" not in plan(found)
+    words = {i: set(text.split()) for i, _, text in rows}
+    n, df, want = len(rows), {}, {}
+    for w in words.values():
+        for x in w:
+            df[x] = df.get(x, 0) + 1
+    import math
+    from collections import Counter
+    from itertools import combinations
+
+    total = Counter(x for _, _, text in rows for x in text.split())
+    assert all(df[x] >= 2 for x in total)
+    for c in ("c0", "c1", "c2"):
+        count = Counter(x for _, label, text in rows if label == c for x in text.split())
+        best, scores = sorted(count, key=lambda x: (-count[x], x))[:4], []
+        for a, b in combinations(best, 2):
+            co = sum(a in w and b in w for w in words.values())
+            if 0 < co < n:
+                scores.append(math.log((co / n) / (df[a] / n * df[b] / n)) / -math.log(co / n))
+        want[c] = sum(scores) / len(scores)
+    assert {r["label"]: r["npmi"] for r in found.collect()} == pytest.approx(want)
+
+
+def test_grid_of_clusters_assigns_the_drawn_rows_alone(spark, monkeypatch):
+    import numpy as np
+
+    from quarry.operators import cluster, metrics
+
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(c, 0.3, (60, 3)) for c in (0, 5, 9)])
+    v = spark.createDataFrame([(str(k), r.tolist()) for k, r in enumerate(x)], "id string, embedding array<double>")
+    want = []
+    for setting in (5, 20, 500):
+        fitted = cluster.fit_sample(v, "density", setting, 80)
+        near = cluster.extend(v, fitted).select("id", F.col("cluster").alias("label"))
+        want.append((setting, fitted.where("cluster >= 0").select("cluster").distinct().count(), metrics.silhouette(v.join(near, "id"), 3, 50).first()["silhouette"]))
+    monkeypatch.setattr(cluster, "extend", None)  # assigns every row
+    got = [(r["setting"], r["clusters"], r["silhouette"]) for r in cluster.fit_grid(v, "density", [5, 20, 500], 50, rows=80).collect()]
+    assert [g[:2] for g in got] == [w[:2] for w in want] and got[2][2] is want[2][2] is None
+    assert [g[2] for g in got[:2]] == pytest.approx([w[2] for w in want[:2]], abs=1e-9)
