@@ -9,14 +9,15 @@ from quarry.functions.stopwords import STOP_WORDS
 from quarry.operators.vectors import small
 from quarry.sources.shared import materialize
 
-CONFIGURATIONS = {"raw": t.raw_tokens, "plain": t.plain_tokens, "content": t.content_tokens}
-
 
 def token_counts(records: DataFrame) -> DataFrame:
-    """configuration, token, n. One scan: the three token arrays of a record are exploded together and counted map-side."""
+    """configuration, token, n. One scan: raw and plain tokens of a record are exploded together and counted map-side; content tokens are the counted plain ones without stop words."""
     source = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit("")))
-    both = records.select(F.explode(F.array(*[F.struct(F.lit(k).alias("configuration"), f(source).alias("tokens")) for k, f in CONFIGURATIONS.items()])).alias("x"))
-    return both.select("x.configuration", F.explode("x.tokens").alias("token")).groupBy("configuration", "token").agg(F.count("*").alias("n"))
+    both = records.select(F.explode(F.array(*[F.struct(F.lit(k).alias("configuration"), f(source).alias("tokens")) for k, f in (("raw", t.raw_tokens), ("plain", t.plain_tokens))])).alias("x"))
+    found = both.select("x.configuration", F.explode("x.tokens").alias("token"))
+    counts = found.groupBy("configuration", "token").agg(F.count("*").alias("n"))
+    content = (F.col("configuration") == "plain") & ~F.col("token").isin(*STOP_WORDS)
+    return counts.select(F.explode(F.when(content, F.array(F.lit("plain"), F.lit("content"))).otherwise(F.array("configuration"))).alias("configuration"), "token", "n")
 
 
 def top_tokens(counts: DataFrame, limit: int = 2000) -> DataFrame:
